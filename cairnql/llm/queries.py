@@ -16,6 +16,23 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import kd_shards
+
+    out = kd_shards(_documents(spark, sf_dir), leaves=16)
+    return out.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(_documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -26,8 +43,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import MIX_SQL
+
+    return {
+        "op3_mix_sources": "WITH " + MIX_SQL.format(docs="documents")
+        + " SELECT id AS doc_id, size, source_size, target, size * copies AS taken FROM mixed",
+    }
