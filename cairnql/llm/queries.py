@@ -42,6 +42,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, sanitise
+
+    out = sanitise(_documents(spark, sf_dir).select("doc_id", "text"))
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    is_kind = lambda k: lambda s: s["kind"] == k
+    base = F.filter("pii_spans", lambda s: s["kind"] != "term")
+    return out.select(
+        "doc_id",
+        *[F.size(F.filter("pii_spans", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("pii_spans", one), ",").alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -52,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_best_fit_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_best_fit_packing, op9_pii, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
