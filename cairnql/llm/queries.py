@@ -26,6 +26,14 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup_vectors import near_duplicates
+
+    out = near_duplicates(_embeddings(spark, sf_dir))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -42,6 +50,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, sanitise
 
@@ -67,13 +81,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_best_fit_packing, op9_pii, op10_simhash)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_embedding_neardup, op3_mix_sources, op4_best_fit_packing, op7_topk, op9_pii, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIX_SQL
+    from .neardup_vectors import NEAR_SQL
+    from .topk import TOP_K_SQL
 
     return {
+        "op2_embedding_neardup": NEAR_SQL,
+        "op7_topk": TOP_K_SQL,
         "op3_mix_sources": "WITH " + MIX_SQL.format(docs="documents")
         + " SELECT id AS doc_id, size, source_size, target, size * copies AS taken FROM mixed",
     }
