@@ -9,6 +9,7 @@ numbered by a distributed ranking and find their sequence by their number.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,31 +21,64 @@ from pyspark.sql import functions as F
 from .common import positions, save
 
 CAPACITY = 2048
-CACHED_WORDS, CACHED_BYTES = 250_000, 48
+CACHED_WORDS, CACHED_BYTES = 400_000, 48
 #: Bins closed by the whole search, candidates tried for one bin, and steps to enumerate them.
-NODES, BRANCH, STEPS = 40_000, 6, 3_000
+NODES, BRANCH, STEPS = 5_000, 6, 1_500
+#: Latin letters without a decomposition to come, then ASCII punctuation other than the apostrophe: always two pre-tokens.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
 
 
 class WordIds(dict):
     """Ids of white-space separated words as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those
-    of its words in turn.  The cache is emptied when it holds ``CACHED_WORDS`` words; longer
-    words are encoded anew each time.
+    of its words in turn.  A word of plain letters and closing punctuation goes to the
+    vocabulary's merges in these two parts, past the normaliser and the pattern, which would
+    only lower its case and part it there; any other word is encoded in full.  The caches
+    are emptied when they hold ``CACHED_WORDS`` entries; longer words are never kept.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(tokenizer_path).encode
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.parts: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.merge(part.encode().decode("latin-1").translate(LETTERS))])
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
+        text = word.decode("utf-8", "replace")
+        if len(word) <= CACHED_BYTES and (m := SIMPLE.fullmatch(text)):
+            letters, closing = m.groups()
+            ids = self.part(letters.lower()) + (self.part(closing) if closing else b"")
+        else:
+            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) > CACHED_BYTES:
+                return ids
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids
         return ids
 
     def text(self, text: bytes | None) -> bytes:
