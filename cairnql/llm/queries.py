@@ -50,12 +50,42 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    lexicon = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    out = score(docs, lexicon)
+    return out.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    out = predict(docs.select("doc_id", "text"), fit(docs, ~held_out))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
     return top_k(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import token_counts
+
+    out = token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, sanitise
 
@@ -81,7 +111,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_embedding_neardup, op3_mix_sources, op4_best_fit_packing, op7_topk, op9_pii, op10_simhash)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_embedding_neardup, op3_mix_sources, op4_best_fit_packing, op5_toxicity, op6_language, op7_topk, op8_token_counts, op9_pii, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
