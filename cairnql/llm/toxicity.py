@@ -19,12 +19,17 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 #: Bounds of the learning sample (documents of each label on average) and of the lexicon.
 DOCUMENTS, ENTRIES, PHRASES = 4000, 4000, 2000
 STEMS = (4, 5, 6, 7)
+#: Least log-odds of an entry.
+ODDS = 1.0
 LONGEST = 24
 
 LOOKALIKE = dict(zip("авеѕіјкмнорстухһԁԛԝɡαβεικνορτυχωıℓ", "abesijkmhopctyxhdqwgabeiknoptuxwil"))
@@ -155,6 +160,28 @@ def _counted(sample: DataFrame, of) -> DataFrame:
     return sample.mapInArrow(run, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample without near copies, whose shared words are not independent evidence.
+
+    Rows that share the smallest of their shingles' hashes under any of three seeds count as copies."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for b in batches:
+            keys: list[list[int]] = [[], [], []]
+            for text in b.column(0).to_pylist():
+                w = text.encode("utf-8", "replace").split()
+                shingles = {b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+                for seed, out in enumerate(keys):
+                    out.append(min(h(x, seed) for x in shingles) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k, pa.int64()) for k in keys)], ["text", "_y", "k0", "k1", "k2"])
+
+    keyed = sample.mapInArrow(run, "text string, _y int, k0 long, k1 long, k2 long")
+    for k in ("k0", "k1", "k2"):
+        keyed = keyed.dropDuplicates([k])
+    return keyed.select("text", "_y")
+
+
 def _compact(entries: list[tuple[str, float, int]]) -> dict[str, float]:
     """Drop an entry that a shorter stem already covers with about the same weight."""
     kept: dict[str, float] = {}
@@ -181,8 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str =
     share = F.when(F.col("_y") == 1, F.lit(min(1.0, DOCUMENTS / n[1]))).otherwise(F.lit(min(1.0, DOCUMENTS / n[0])))
     at = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = y.where("_y IN (0, 1)").where(at < share)
-    sample = rows.join(F.broadcast(chosen), "_id").select("text", "_y")  # twice DOCUMENTS rows of two numbers
-    n = {r[0]: r[1] for r in sample.groupBy("_y").count().collect()}
+    sample = save(_one_of_copies(rows.join(F.broadcast(chosen), "_id").select("text", "_y")))  # chosen: twice DOCUMENTS rows of two numbers
+    all_n, n = n, {r[0]: r[1] for r in sample.groupBy("_y").count().collect()}
     if len(n) < 2:
         return Lexicon({})
     na, nb = float(n[1]), float(n[0])
@@ -192,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str =
     odds = F.log((F.col("a") + 0.5) / (na + 1)) - F.log((F.col("b") + 0.5) / (nb + 1))
     many = counted.where("a + b >= 3").count()
     bar = 2 * math.log(max(2, many))
-    top = stats.where((odds > 1) & (F.col("g") > bar)).select("f", odds.alias("w"), "a").orderBy(F.col("g").desc(), "f").limit(ENTRIES)
+    top = stats.where((odds > ODDS) & (F.col("g") > bar)).select("f", odds.alias("w"), "a").orderBy(F.col("g").desc(), "f").limit(ENTRIES)
     lexicon = Lexicon(_compact([tuple(r) for r in top.collect()]))
 
     def around(text: str) -> set[str]:
@@ -218,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in m], pa.float64()), pa.array([x for _, x in m], pa.float64()), b.column(1)], ["x", "d", "y"])
 
     points = sorted(tuple(r) for r in sample.mapInArrow(measured, "x double, d double, y int").collect())
-    lexicon.calibration = _logistic(np.array(points), n[1] / n[0])
+    lexicon.calibration = _logistic(np.array(points), np.array([all_n[0] / n[0], all_n[1] / n[1]]))
     return lexicon
 
 
@@ -237,10 +264,10 @@ class _Matcher:
         return self._built
 
 
-def _logistic(t: np.ndarray, ratio: float) -> tuple[float, float, float]:
-    """Newton's method with a small ridge; both labels weigh alike."""
+def _logistic(t: np.ndarray, per_label: np.ndarray) -> tuple[float, float, float]:
+    """Newton's method with a small ridge; each row weighs as many documents as it stands for."""
     x, y = np.column_stack([np.ones(len(t)), t[:, :2]]), t[:, 2]
-    weight = np.where(y == 1, 1 / max(1e-9, ratio), 1.0)
+    weight = per_label[y.astype(int)]
     w = np.zeros(3)
     ridge = np.diag([1e-3, 1e-1, 1e-1])
     for _ in range(50):
