@@ -10,6 +10,7 @@ a threshold are generalised, and removed above a second one, wherever they occur
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -143,16 +144,22 @@ def disclosure(
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     def anywhere(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known, counts = held.value, Counter()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["t", "nt"])
+            counts.clear()
+            return b
+
         for b in batches:
-            out: list[str] = []
             for text in b.column(0).to_pylist():
                 own = {t for t, _, _ in terms(text)}
-                out += own if known is None else own & known
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["t"])
+                counts.update(own if known is None else own & known)
+                if len(counts) > 500_000:
+                    yield out()
+        yield out()
 
-    df = texts.mapInArrow(anywhere, "t string").groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
+    df = texts.mapInArrow(anywhere, "t string, nt long").groupBy("t").agg(F.sum("nt").alias("nt"))
     n = docs.count()
     ent = met.where("t = ''").selectExpr("c", "n AS nc")
     joint = pairs.join(ent, "c").join(df, "t")
