@@ -80,12 +80,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether longs differ in ``BITS`` bits at most; counted unsigned, as numpy counts the bits of absolute values."""
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= BITS
+
+
 def _stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of up to ``GROUP`` distinct fingerprints: (member, smallest member)."""
     n = len(fps)
     near = np.zeros((n, n), bool)
     for i in range(0, n, 256):
-        near[i : i + 256] = np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= BITS
+        near[i : i + 256] = _near(fps[i : i + 256, None], fps[None, :])
     label = np.arange(n)
     while True:
         low = np.where(near, label[None, :], n).min(axis=1)
@@ -108,7 +113,7 @@ def _compare(groups: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             two = starts[sizes == 2]
             x, y = flat[two], flat[two + 1]
-            ok = np.bitwise_count(x ^ y) <= BITS
+            ok = _near(x, y)
             us, vs = [x[ok]], [y[ok]]
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
                 u, v = _stars(flat[s : s + n])
@@ -181,7 +186,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Of repeated rows with that id one stays.  Rows with a null id cannot be told apart and
     all stay.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    keep = groups.where("id = component").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    keep = near_duplicates(named, id_col, text_col).where("id = component").select("id")
+    kept = named.join(keep, named[id_col] == keep["id"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
