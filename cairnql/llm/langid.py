@@ -7,7 +7,6 @@ averages the positions' probabilities over the document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 LENGTH = 64  # bytes of a segment
 HIDDEN = 8
 #: Bounds of the training sample: languages (the most frequent), documents of each on average, segments of a document.
@@ -240,7 +238,7 @@ def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
             for o in range(0, whole.num_rows, 512):
                 b = whole.slice(o, 512)
                 texts = b.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if t and net and LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if t and net and any(map(str.isalpha, t))]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if known:
                     p = read(net, [texts[i].encode("utf-8", "replace") for i in known])
