@@ -219,10 +219,10 @@ def sanitise(
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(ts)), pa.array(ts)], ["_key", "term"])
 
         key = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-        pairs = docs.select(key.alias("_key"), text_col).mapInArrow(own, "_key string, term string").distinct()
-        mine = pairs.join(flagged, "term").groupBy("_key").agg(F.collect_list(F.struct("term", F.col("share") >= remove)).alias("_flags"))
+        pairs = docs.select(key.alias("key"), text_col).mapInArrow(own, "key string, term string").distinct()
+        mine = pairs.join(flagged, "term").groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("goes"))).alias("flags"))
         held = None
-        rows = docs.withColumn("_key", key).join(mine, "_key", "left").drop("_key")
+        rows = docs.join(mine, key == mine["key"], "left").select(*[docs[f"`{c}`"] for c in names], mine["flags"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = held.value if held else {}
@@ -230,7 +230,7 @@ def sanitise(
             spans, texts = [], []
             flags = b.column(b.num_columns - 1).to_pylist() if held is None else None
             for i, text in enumerate(b.column(at).to_pylist()):
-                found = everywhere if flags is None else {tuple(f.values())[0]: tuple(f.values())[1] for f in flags[i] or ()}
+                found = everywhere if flags is None else {f["term"]: f["goes"] for f in flags[i] or ()}
                 s, clean = _mark(text, found)
                 spans.append([{"kind": k, "start": x, "end": y} for k, x, y in s])
                 texts.append(clean)
