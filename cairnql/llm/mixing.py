@@ -89,39 +89,55 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return out.select("source", "budget", F.coalesce("upto", F.lit(-1)).alias("upto"))
 
 
+def plan(rows: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, cap: int = 2) -> DataFrame:
+    """One row per source of ``rows`` (source, size, h): (_s, total, target, whole, upto).
+
+    A source's target of ``whole`` times its size plus a rest takes every document ``whole``
+    times and those with words and a hash up to ``upto`` once more.
+    """
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("total")), weights, percent, cap)
+    goal = goal.withColumn("whole", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("int"))
+    goal = save(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("total")))
+    ends = thresholds(rows, goal.select("source", "budget")).select(F.col("source").alias("_t"), "upto")
+    out = goal.join(ends, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("source").alias("_s"), "total", "target", "whole", "upto")
+    return F.broadcast(out) if goal.count() <= BROADCAST_SOURCES else out
+
+
 def mix(
-    docs: DataFrame,
-    *,
-    weights: tuple[int, ...] = (3, 1, 2),
-    percent: int = 150,
-    cap: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares: object,
+) -> DataFrame:
     """One row per input row: (id, h, source, size, source_size, target, copies).
 
-    A source's target of q times its size plus a rest takes every document q times and those
-    with words up to the threshold of the rest once more; so nothing is taken more than ``cap`` times.
-    Null texts have size 0; null sources form a source of their own.  Rows that share an id
-    share a hash and are taken together.  An empty table gives no rows.
+    ``shares`` are those of ``plan``; nothing is taken more than ``cap`` times.  Null texts
+    have size 0; null sources form a source of their own.  Rows that share an id share a
+    hash and are taken together.  An empty table gives no rows.
     """
     rows = save(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), hash60(id_col, text_col).alias("h"))
     )
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("total")), weights, percent, cap)
-    goal = goal.withColumn("whole", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("int"))
-    goal = save(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("total")))
-    ends = thresholds(rows, goal.select("source", "budget")).select(F.col("source").alias("_t"), "upto")
-    plan = goal.join(ends, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("source").alias("_s"), "total", "target", "whole", "upto")
-    plan = F.broadcast(plan) if goal.count() <= BROADCAST_SOURCES else plan
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = rows.join(plan(rows, **shares), F.col("source").eqNullSafe(F.col("_s")), "left")
     return out.select(
         "id", "h", "source", "size", F.col("total").alias("source_size"), "target",
         (F.col("whole") + ((F.col("h") <= F.col("upto")) & (F.col("size") > 0)).cast("int")).alias("copies"),
     )
 
 
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares: object) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    The same choice as ``mix`` makes, by the same thresholds; texts are filtered where they
+    lie and not shuffled.
+    """
+    rows = save(docs.select(F.col(source_col).alias("source"), words(text_col).alias("size"), hash60(id_col, text_col).alias("h")))
+    taken = plan(rows, **shares)
+    more = (hash60(id_col, text_col) <= taken["upto"]) & (words(text_col) > 0)
+    hit = docs.join(taken, docs[source_col].eqNullSafe(taken["_s"]))
+    copies = taken["whole"] + F.coalesce(more, F.lit(False)).cast("int")
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    spread = hit.select(F.struct(*own).alias("row"), F.explode(F.array_repeat(F.lit(0), copies)))
+    return spread.select("row.*")
+
+
 #: DuckDB SQL of ``mix`` with its default parameters over a relation named documents (doc_id, source, text).
 MIX_SQL = r"""
 rows AS (
