@@ -37,9 +37,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("id").alias("_id"), "copies").dropDuplicates(["_id"])
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return mixing.mixed(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
