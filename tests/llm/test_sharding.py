@@ -1,0 +1,95 @@
+"""K-d shards against a recursive split of the same rows in plain Python."""
+
+import math
+import zlib
+
+import pytest
+from helpers import awkward, documents, prose
+from pyspark.sql import functions as F
+
+from cairnql.llm import queries, sharding
+
+
+def brute(rows, dims, leaves):
+    """{row number: shard}; rows are (size, tie, coordinates), and a key is a coordinate with the tie behind it."""
+    out = {}
+
+    def split(at, node, k):
+        if k == 1:
+            out.update(dict.fromkeys(at, node))
+            return
+        width = [max(rows[i][2][d] for i in at) - min(rows[i][2][d] for i in at) for d in range(dims)]
+        d = width.index(max(width))
+        key = lambda i: (rows[i][2][d], rows[i][1])
+        total = sum(rows[i][0] for i in at)
+        want = total * (k // 2) / k
+        before, cut = 0, None
+        for x in sorted({key(i) for i in at}):
+            own = sum(rows[i][0] for i in at if key(i) == x)
+            if before + own >= want:
+                cut = (x, want - before < before + own - want)  # the median's own rows go to the nearer side
+                break
+            before += own
+        left = [i for i in at if key(i) < cut[0] or key(i) == cut[0] and not cut[1]]
+        right = [i for i in at if i not in set(left)]
+        if left:
+            split(left, node, k // 2)
+        if right:
+            split(right, node + k // 2, k - k // 2)
+
+    if rows:
+        split(list(range(len(rows))), 0, leaves)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 16])
+def test_against_recursive_medians(spark, leaves):
+    rows = [r for r in awkward() if r[0] is not None] + [(1000 + i, prose(i, 3 + i % 90), ("en", "de", "fr")[i % 3], "abcdefg"[i % 7]) for i in range(300)]
+    d = documents(spark, rows).dropDuplicates(["doc_id"])
+    dims = sharding.metadata_dimensions(d)
+    text = F.coalesce("text", F.lit(""))
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    size = (F.octet_length(text) + 1).cast("long")
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", crc, size), 64 - sharding.HASH_BITS)
+    data = d.select("doc_id", size.alias("s"), tie.alias("t"), *[c.alias(f"c{i}") for i, c in enumerate(dims.values())]).collect()
+    lo = [min((r[f"c{i}"] for r in data if r[f"c{i}"] is not None), default=0) for i in range(len(dims))]
+    hi = [max((r[f"c{i}"] for r in data if r[f"c{i}"] is not None), default=0) for i in range(len(dims))]
+    at = lambda r, i: 0 if r[f"c{i}"] is None else int((r[f"c{i}"] - lo[i]) / (hi[i] - lo[i]) * sharding.COORD)
+    points = [(r["s"], r["t"], [at(r, i) for i in range(len(dims))]) for r in data]
+    want = brute(points, len(dims), leaves)
+    got = {r["id"]: r["shard"] for r in sharding.kd_shards(d, leaves=leaves).collect()}
+    assert got == {data[i]["doc_id"]: shard for i, shard in want.items()}
+
+
+def test_query(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op1_kd_shards(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(docs)
+    shards = {}
+    for r in out:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        shards.setdefault(r["shard"], []).append(r)
+    assert set(shards) == set(range(16))
+    for rows in shards.values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    total = sum(r["size"] for r in out)
+    longest = max(r["size"] for r in out)
+    assert all(abs(sum(r["size"] for r in rows) - total / 16) <= longest for rows in shards.values())
+
+
+def test_copies_and_one_hot_source_still_split_evenly(spark):
+    rows = [(i, prose(1, 30), "en", "hot") for i in range(3000)] + [(5000 + i, prose(i, 20), "en", f"s{i % 5}") for i in range(600)]
+    out = sharding.kd_shards(documents(spark, rows), leaves=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r["b"] for r in out]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.01 * sum(sizes)
+
+
+def test_target_bytes_and_own_dimensions(spark):
+    d = documents(spark, [(i, "x" * 99, None, None) for i in range(200)])
+    out = sharding.kd_shards(d, target_bytes=2000, dimensions={"id": F.col("doc_id")}).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(r["shard"], []).append(r["id"])
+    assert len(shards) == math.ceil(200 * 100 / 2000)
+    assert all(max(x) - min(x) == len(x) - 1 for x in shards.values())  # ranges of the id
