@@ -39,6 +39,14 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: list[str], like: str) -> str:
+    """A column name that none of ``names`` equals, whatever the case."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def positions(df: DataFrame, cls: str, order: list[str], out: str, rows: int) -> DataFrame:
     """Gapless 0-based position ``out`` of every row within its class, without a global sort.
 

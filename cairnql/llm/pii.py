@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -220,9 +220,10 @@ def sanitise(
 
         key = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
         pairs = docs.select(key.alias("key"), text_col).mapInArrow(own, "key string, term string").distinct()
-        mine = pairs.join(flagged, "term").groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("goes"))).alias("flags"))
+        flags = unused(names, "flags")
+        mine = pairs.join(flagged, "term").groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("goes"))).alias(flags))
         held = None
-        rows = docs.join(mine, key == mine["key"], "left").select(*[docs[f"`{c}`"] for c in names], mine["flags"])
+        rows = docs.join(mine, key == mine["key"], "left").select(*[docs[f"`{c}`"] for c in names], mine[flags])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = held.value if held else {}
