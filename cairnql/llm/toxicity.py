@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Texts are lower-cased and folded first: look-alike letters of other scripts, full-width
-forms, accents and digits that stand for letters become plain letters.  Lexicon entries are
-whole words or beginnings of words, with log-odds learned from labelled documents; phrases
+forms and digits that stand for letters become plain letters; accented letters stay letters
+of their own, as languages tell words apart by them.  Lexicon entries are
+whole words or beginnings of longer words, with log-odds learned from labelled documents; phrases
 in which an entry is harmless are exceptions.  The weights found are normalised by the
 length of the text and turned into a probability.
 """
@@ -27,51 +28,59 @@ from .common import save
 
 #: Bounds of the learning sample (documents of each label on average) and of the lexicon.
 DOCUMENTS, ENTRIES, PHRASES = 4000, 4000, 2000
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8)
 #: Least log-odds of an entry.
 ODDS = 1.0
 LONGEST = 24
 
 LOOKALIKE = dict(zip("авеѕіјкмнорстухһԁԛԝɡαβεικνορτυχωıℓ", "abesijkmhopctyxhdqwgabeiknoptuxwil"))
-#: i, l and 1 are one letter here, in texts and lexicon alike.
-DIGITS = dict(zip("0134578l", "oieastbi"))
+#: Letters that a digit may stand for; a word with one of several meanings is read in every way.
+DIGITS = (str.maketrans("0134578", "oieastb"), str.maketrans("0134578", "oleastb"))
 
 
 def _fold_table() -> dict[int, str | None]:
     out: dict[int, str | None] = {}
-    for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
-        base = unicodedata.normalize("NFKD", chr(c)).lower()
-        base = "".join(x for x in base if not unicodedata.combining(x))
-        out[c] = base if base.isascii() and base.isalnum() else chr(c) if chr(c).isalpha() else " "
+    for c in [*range(0xA0, 0xC0), *range(0xFF01, 0xFF5F)]:
+        base = unicodedata.normalize("NFKC", chr(c)).lower()
+        out[c] = base if base.isalnum() else " "
     out |= {ord(a): b for a, b in LOOKALIKE.items()}
     out |= {c: " " for c in range(128) if not chr(c).isalnum()}
-    out |= {c: None for c in [*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]}
-    for c in [*range(128), *out]:
-        v = out.get(c, chr(c))
-        if v:
-            out[c] = "".join(DIGITS.get(x, x) for x in v)
-    return out
+    return out | {c: None for c in [*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]}
 
 
 TABLE = _fold_table()
 SYMBOL = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])")
+DIGIT = re.compile("[0134578]")
 
 
 def fold(text: str | None) -> str:
-    """Folded text with single spaces between words and one at either end; null is empty."""
+    """Folded text with single spaces between words and one at either end; null is empty.
+
+    Further readings of words with digits follow at the end."""
     text = (text or "").lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     if "$" in text or "@" in text or "!" in text:
         text = SYMBOL.sub(lambda m: {"@": "a", "$": "s", "!": "i"}[m[0]], text)
-    return f" {' '.join(text.translate(TABLE).split())} "
+    text = text.translate(TABLE)
+    words = text.split()
+    if DIGIT.search(text):
+        more: list[str] = []
+        for i, w in enumerate(words):
+            if DIGIT.search(w) and not w.isdigit():
+                words[i], other = (w.translate(t) for t in DIGITS)
+                more += [other] * (other != words[i])
+        words += more
+    return f" {' '.join(words)} "
 
 
 def features(text: str) -> set[str]:
-    """Candidate entries of a folded text: words as " word " and beginnings of words as " stem"."""
+    """Candidate entries of a folded text: words as " word " and beginnings of longer words as " stem"."""
     out: set[str] = set()
     for w in set(text.split()):
         if 3 <= len(w) <= LONGEST:
             out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in STEMS if len(w) >= n)
+            out.update(f" {w[:n]}" for n in STEMS if len(w) > n)
     return out
 
 
@@ -107,6 +116,8 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
         start = end - size + 1
         if w is None:
             spared.append((start, end))
+        elif text[end] != " " and text[end + 1] == " ":
+            continue  # a word that is the stem and no more
         elif start not in best or w > best[start][1]:
             best[start] = (end, w)
     return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in spared)]
@@ -186,7 +197,7 @@ def _compact(entries: list[tuple[str, float, int]]) -> dict[str, float]:
     """Drop an entry that a shorter stem already covers with about the same weight."""
     kept: dict[str, float] = {}
     for f, w, _ in sorted(entries, key=lambda e: (len(e[0]), e[0])):
-        stems = [kept[s] for n in STEMS if len(s := f[: n + 1]) < len(f) and s in kept]
+        stems = [kept[s] for n in STEMS if len(s := f[: n + 1]) < len(f.rstrip()) and s in kept]
         if not stems or w > max(stems) + 1.0:
             kept[f] = w
     return kept
