@@ -91,23 +91,54 @@ def compare(df: DataFrame, a: str, op: str, b: str) -> Column:
     return {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
 
+def _int32(x: Column) -> Column:
+    """The low 32 bits of a long, signed."""
+    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
 def hash_partition(kind: str, column: Column, n: int) -> Column:
-    """The classic routing function: of a long, (v xor v >>> 32) mod n; of a string, 31-hash of its UTF-8 bytes; null 0.
+    """The classic routing function: of a long, the low 32 bits of v xor v >>> 32, mod n; of a string, the 31-hash of its UTF-8 bytes; null 0.
 
     Only needed where partition numbers themselves matter; ``repartition`` does for all else.
     """
     if kind == "long":
         v = column.cast("long")
-        out = F.abs(F.try_mod(v.bitwiseXOR(F.shiftrightunsigned(v, 32)), F.lit(n)))
+        low = v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit((1 << 32) - 1))
+        out = F.abs(F.try_mod(_int32(low), F.lit(n)))
     else:
         codes = F.transform(F.sequence(F.lit(1), F.octet_length(column)), lambda i: F.conv(F.hex(F.substring(F.encode(column, "UTF-8"), i, 1)), 16, 10).cast("int"))
         signed = F.transform(codes, lambda b: F.when(b > 127, b - 256).otherwise(b))
-        wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-        h = F.aggregate(signed, F.lit(0).cast("long"), lambda a, b: wrap(a * 31 + b))
+        h = F.aggregate(signed, F.lit(0).cast("long"), lambda a, b: _int32(a * 31 + b))
         out = F.when(F.octet_length(column) == 0, F.lit(0)).otherwise(F.abs(F.try_mod(h, F.lit(n))))
     return F.coalesce(out, F.lit(0)).cast("int")
 
 
+def combined_partition(columns: list[Column], n: int) -> Column:
+    """Route by several long keys: their 31-hash in 32 bits, times 31, routed like a long."""
+    h = F.lit(1).cast("long")
+    for c in columns:
+        v = c.cast("long")
+        low = v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit((1 << 32) - 1))
+        h = _int32(h * 31 + F.coalesce(_int32(low), F.lit(0)))
+    return hash_partition("long", _int32(h * 31), n)
+
+
+def partitioned(df: DataFrame, method: str, n: int, *columns: str) -> DataFrame:
+    """Deal rows out by a named method: HASH or RANGE of columns, RANDOM, REPLICATION (a broadcast hint) or NONE."""
+    method = method.upper()
+    if method == "HASH":
+        return df.repartition(n, *columns)
+    if method == "RANGE":
+        return df.repartitionByRange(n, *columns)
+    if method == "RANDOM":
+        return df.repartition(n)
+    if method == "REPLICATION":
+        return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
+    if method == "NONE":
+        return df
+    raise ValueError(f"no partition method {method}")
+
+
 def mapped_partition(df: DataFrame, column: str, mapping: DataFrame, default: int = 0) -> DataFrame:
     """Adds ``partition`` by a lookup table (value, partition)."""
     m = mapping.select(F.col("value").alias("_value"), F.col("partition"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,15 +39,49 @@ def normalize(hist: DataFrame) -> DataFrame:
 
 
 def moments(hist: DataFrame) -> DataFrame:
-    """Sum, mean and standard deviation of the values, weighted by count."""
+    """Sum, mean and sample standard deviation (NaN for fewer than two) of the values, weighted by count."""
     n, s = F.sum("count"), F.sum(F.col("value") * F.col("count"))
     q = F.sum(F.col("value") * F.col("value") * F.col("count"))
-    return hist.agg(s.alias("sum"), (s / n).alias("mean"), F.sqrt(q / n - (s / n) * (s / n)).alias("stdev"))
+    spread = F.when(n > 1, F.sqrt(F.greatest((q - s * (s / n)) / (F.nullif(n, F.lit(1)) - 1), F.lit(0.0)))).otherwise(F.lit(float("nan")))
+    return hist.agg(s.alias("sum"), (s / F.nullif(n, F.lit(0))).alias("mean"), spread.alias("stdev"))
 
 
 def percentile(hist: DataFrame, p: float) -> DataFrame:
-    """Exact percentile of the values by count."""
-    return hist.agg(F.percentile("value", F.lit(p), F.col("count")).alias("percentile"))
+    """Exact percentile (0 to 1, held within 0.01 and 1) of the values by count, interpolated.
+
+    Within one step of the smallest value it is that value."""
+    p = min(1.0, max(0.01, p))
+    at = F.percentile("value", F.lit(p), F.col("count"))
+    return hist.agg(F.when((F.sum("count") - 1) * p < 1, F.min("value").cast("double")).otherwise(at).alias("percentile"))
+
+
+def sorted_values(hist: DataFrame) -> DataFrame:
+    """Values by descending count; those of equal count ascend."""
+    return hist.orderBy(F.col("count").desc(), F.col("value").asc())
+
+
+def weighted_values(hist: DataFrame, block: int = 65_536) -> DataFrame:
+    """Every value as often as it was counted; blocks keep a frequent value from being one long array."""
+    blocks = hist.select("value", "count", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("count") - 1), F.lit(block).cast("long"))).alias("_at")).where("count > 0")
+    return blocks.select("value", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + block, F.col("count")) - 1))).select("value")
+
+
+def spread_values(hist: DataFrame) -> DataFrame:
+    """(value, position): the distinct values in order, evenly from -1 to 1, to ten digits."""
+    ranked = hist.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return ranked.select("value", F.round(F.when(F.col("n") > 1, -1 + F.col("k") * 2.0 / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(-1.0), 10).alias("position"))
+
+
+def column_histograms(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, value, count) for each of some columns in one pass; values as text."""
+    names = columns or tuple(df.columns)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])).alias("e")).select("e.*")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def partition_counts(df: DataFrame, part: Column) -> DataFrame:
+    """Rows of each routing partition."""
+    return df.groupBy(part.alias("partition")).agg(F.count(F.lit(1)).alias("tuples"))
 
 
 def table_statistics(df: DataFrame, name: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnql.operators import stats, views
+from cairnql.functions import sql as dialect
 from cairnql.operators.dml import MutableTable
+from cairnql.plans.statements import execute, is_change
 from cairnql.sources import schema as ddl
 from cairnql.sources.store import Snapshots, VersionedTable, dump
 
@@ -33,6 +37,7 @@ class Engine:
         self.frames: dict[str, DataFrame] = {}
         self.procedures: dict[str, Procedure] = {}
         self.log = log
+        dialect.register(spark)
         if script:
             self.declare(script)
 
@@ -70,12 +75,20 @@ class Engine:
             return views.result(view, store.read())
         return self.frames[name]
 
-    def sql(self, text: str, *args: object, **named: object) -> DataFrame:
-        """Ad-hoc SQL with positional (?) or named (:x) parameters."""
-        for name in [*self.tables, *self.views, *self.frames]:
+    def query(self, text: str, *args: object, **named: object) -> DataFrame:
+        """A query with positional (?) or named (:x) parameters; only the relations it names are looked up."""
+        words = set(re.findall(r"\w+", text.lower()))
+        for name in words & {*self.tables, *self.views, *self.frames}:
             self.relation(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=list(args) if args else named or None)
 
+    def sql(self, text: str, *args: object, **named: object) -> DataFrame:
+        """Ad-hoc SQL: a query, or a change of a table, whose result is one row with the number of rows it affects."""
+        if is_change(text):
+            n = execute(self, text, args)
+            return self.spark.range(1).select(F.lit(n).cast("long").alias("modified_tuples"))
+        return self.query(text, *args, **named)
+
     def procedure(self, name: str, body: str | Callable[..., DataFrame], **meta) -> Procedure:
         self.procedures[name.lower()] = p = Procedure(name, body, **meta)
         return p
@@ -95,6 +108,15 @@ class Engine:
                 rows += [(n, kind, f.name, f.dataType.simpleString(), f.nullable) for f in self.relation(n).schema]
         return self.spark.createDataFrame(rows, "relation string, kind string, column string, type string, nullable boolean")
 
+    def load(self, name: str, rows: DataFrame) -> int:
+        """Bulk load: one append of a whole frame, checked like any insert."""
+        return self.tables[name.lower()].insert(rows)
+
+    def configure(self, **settings: str) -> None:
+        """Set session settings; dots are written as double underscores."""
+        for k, v in settings.items():
+            self.spark.conf.set(k.replace("__", "."), v)
+
     def configuration(self) -> DataFrame:
         return self.spark.createDataFrame(sorted(self.spark.conf.getAll.items()), "name string, value string")
 

@@ -435,9 +435,10 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- routing, procedures, statistics
 
-@query("""SELECT o_orderkey, abs(CASE WHEN o_orderkey >= 0 THEN xor(o_orderkey, o_orderkey >> 32) ELSE 0 END % 16)::INT AS part FROM orders""")
+@query("""WITH r AS (SELECT o_orderkey, (xor(o_orderkey * 700000007, (o_orderkey * 700000007) >> 32) % 4294967296 + 2147483648) % 4294967296 - 2147483648 AS h FROM orders)
+SELECT o_orderkey, abs(h % 16)::INT AS part FROM r""")
 def hash_partition_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", rel.hash_partition("long", F.col("o_orderkey"), 16).alias("part"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rel.hash_partition("long", F.col("o_orderkey") * 700_000_007, 16).alias("part"))
 
 
 @query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 9 END AS partition FROM nation")
@@ -481,7 +482,7 @@ def histogram_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.extremes(stats.histogram(table(spark, sf_dir, "orders"), "o_custkey"))
 
 
-@query("""SELECT sum(l_linenumber)::BIGINT AS sum, round(avg(l_linenumber), 9) AS mean, round(stddev_pop(l_linenumber), 9) AS stdev FROM lineitem""")
+@query("""SELECT sum(l_linenumber)::BIGINT AS sum, round(avg(l_linenumber), 9) AS mean, round(stddev_samp(l_linenumber), 9) AS stdev FROM lineitem""")
 def histogram_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = stats.moments(stats.histogram(table(spark, sf_dir, "lineitem"), "l_linenumber"))
     return m.select("sum", F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"))
@@ -495,6 +496,74 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.table_statistics(table(spark, sf_dir, "customer").drop("c_acctbal"), "customer").drop("distinct_values")
 
 
+@query("SELECT value FROM (SELECT o_orderstatus AS value, unnest(range(count(*))) AS k FROM orders GROUP BY 1)")
+def histogram_weighted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.weighted_values(stats.histogram(table(spark, sf_dir, "orders"), "o_orderstatus"), 1000)
+
+
+@query("""SELECT value, round(-1 + (row_number() OVER (ORDER BY value) - 1) * 2.0::DOUBLE / (count(*) OVER () - 1), 10) AS position
+FROM (SELECT DISTINCT event_type AS value FROM events)""")
+def histogram_spread_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.spread_values(stats.histogram(table(spark, sf_dir, "events"), "event_type"))
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
+def histogram_sorted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.sorted_values(stats.histogram(table(spark, sf_dir, "orders"), "o_orderstatus")).limit(2)
+
+
+@query("""SELECT 'l_returnflag' AS "column", l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 2
+UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY 2""")
+def column_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.column_histograms(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"))
+
+
+@query("""WITH s AS (SELECT strlen(concat(r_regionkey::VARCHAR, r_name))::BIGINT AS n FROM region)
+SELECT min(n) AS size_min, max(n) AS size_max, avg(n) AS size_avg, sum(n)::BIGINT AS size_total FROM s""")
+def tuple_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.tuple_sizes(table(spark, sf_dir, "region"))
+
+
+@query("""SELECT abs(xor(o_orderkey, o_orderkey >> 32) % 8)::INT AS partition, count(*) AS tuples FROM orders GROUP BY 1""")
+def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.partition_counts(table(spark, sf_dir, "orders"), rel.hash_partition("long", F.col("o_orderkey"), 8))
+
+
+@query("""SELECT n_nationkey, abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: ord(c)::BIGINT)),
+  lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) % 16)::INT AS part FROM nation""")
+def hash_partition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", rel.hash_partition("string", F.col("n_name"), 16).alias("part"))
+
+
+# ---- changes and typed arithmetic as SQL text
+
+@query(f"""SELECT id, CASE WHEN nation = 3 AND id % 2 = 0 THEN 'it''s 3' ELSE name END AS name, nation, CASE WHEN nation = 3 AND id % 2 = 0 THEN bal * 2 ELSE bal END AS bal
+FROM ({CUST}) WHERE NOT id BETWEEN 10 AND 20
+UNION ALL SELECT 3000000, 'a', 0, NULL UNION ALL SELECT 3000001, 'b', 4, 1.5 UNION ALL SELECT id + 5000000, name, nation, NULL FROM ({CUST}) WHERE nation = 7""")
+def sql_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = loaded(spark, sf_dir)
+    e.sql("UPDATE cust SET name = ?, bal = bal * 2 WHERE nation = ? AND id % 2 = 0", "it's 3", 3)
+    e.sql("DELETE FROM cust WHERE id BETWEEN 10 AND 20")
+    e.sql("INSERT INTO cust (id, name) VALUES (?, ?)", 3_000_000, "a")
+    e.sql("INSERT INTO cust VALUES (3000001, 'b', 4, 1.5)")
+    e.sql("INSERT INTO cust (id, name, nation) SELECT id + 5000000, name, nation FROM cust WHERE nation = 7 AND id < 3000000 AND id NOT BETWEEN 10 AND 20")
+    return e.relation("cust")
+
+
+ORACLE["sql_changes"] = ORACLE["sql_changes"].replace("WHERE nation = 7", "WHERE nation = 7 AND id NOT BETWEEN 10 AND 20")
+
+
+@query("SELECT count(*) AS modified_tuples FROM customer WHERE c_nationkey < 4")
+def sql_modified_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).sql("UPDATE cust SET bal = 0 WHERE nation < ?", 4)
+
+
+@query("SELECT o_orderkey, o_orderkey // 7 AS q FROM orders WHERE o_orderkey < 1000")
+def sql_typed_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark)).attach(orders=table(spark, sf_dir, "orders"))
+    return e.sql("SELECT o_orderkey, int_div(o_orderkey, 7) AS q FROM orders WHERE o_orderkey < ?", 1000)
+
+
 # ---- shapes of the transactional workloads' reports
 
 both("broker_volume", f"""SELECT s.s_name, {money('l.l_extendedprice')} AS volume FROM {{supplier}} s, {{nation}} n, {{region}} r, {{lineitem}} l, {{orders}} o, {{customer}} c, {{part}} p

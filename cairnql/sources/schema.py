@@ -11,6 +11,7 @@ TYPES = {
     "TINYINT": T.ByteType(), "SMALLINT": T.ShortType(), "INTEGER": T.IntegerType(), "INT": T.IntegerType(),
     "BIGINT": T.LongType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "VARCHAR": T.StringType(),
     "TIMESTAMP": T.TimestampType(), "DECIMAL": T.DecimalType(38, 12), "VARBINARY": T.BinaryType(), "BOOLEAN": T.BooleanType(),
+    "NUMERIC": T.DecimalType(38, 12), "REAL": T.DoubleType(), "CHAR": T.StringType(), "LONGVARCHAR": T.StringType(), "DATE": T.DateType(),
 }
 MAX_COLUMNS = 1024
 

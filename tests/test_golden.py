@@ -97,20 +97,6 @@ def test_unions_need_equal_columns(spark):
         rel.union_all(spark.range(1), spark.createDataFrame([("x",)], "a string"))
 
 
-def test_partition_hash(spark):
-    df = spark.createDataFrame([(0, ""), (5, "abc"), ((1 << 40) + 3, "é"), (None, None)], "v long, s string")
-    got = [tuple(r) for r in df.select(rel.hash_partition("long", F.col("v"), 7), rel.hash_partition("s", F.col("s"), 7)).collect()]
-
-    def text(s):
-        h = 0
-        for b in s.encode():
-            h = (h * 31 + (b - 256 if b > 127 else b) + (1 << 31)) % (1 << 32) - (1 << 31)
-        return abs(h) % 7
-
-    v = (1 << 40) + 3
-    assert got == [(0, 0), (5, text("abc")), ((v ^ (v >> 32)) % 7, text("é")), (0, 0)]
-
-
 def test_constraints_leave_the_table_alone(general):
     t = general.tables["p1"]
     t.insert_values((1, "a", 1, 1.0))
@@ -194,6 +180,97 @@ def test_histograms(spark):
     assert rows(stats.values_for_count(h, 2)) == [(1,), (5,)]
 
 
+def test_histograms_as_the_dialect_measures_them(spark):
+    h = stats.histogram(spark.createDataFrame([(x,) for x in (1, 1, 2, 5, 5)], "x int"), "x")
+    total, mean, sd = stats.moments(h).first()
+    assert (total, mean) == (14, 2.8) and abs(sd - 4.2**0.5) < 1e-12
+    assert stats.moments(h.where("value = 2"))._jdf is not None and str(stats.moments(h.where("value = 2")).first()["stdev"]) == "nan"
+    of = lambda p: stats.percentile(h, p).first()[0]
+    assert (of(0.5), of(0.1), of(0.6), of(1.0)) == (2.0, 1.0, pytest.approx(3.2), 5.0)
+    assert rows(stats.weighted_values(h, 1)) == [(1,), (1,), (2,), (5,), (5,)]
+    assert [tuple(r) for r in stats.sorted_values(h).collect()] == [(1, 2), (5, 2), (2, 1)]
+    assert rows(stats.spread_values(h)) == sorted([(1, -1.0), (2, 0.0), (5, 1.0)], key=repr)
+
+
+def test_changes_as_text(general):
+    one = lambda *a: general.sql(*a).first()["modified_tuples"]
+    assert one("INSERT INTO p1 VALUES (1, 'it''s; where', 5, 1.5), (2, NULL, 6, 2.5)") == 2
+    assert one("insert into p1 (descr, id) values (?, ?)", "a ? 'b' \\ c", 3) == 1
+    assert one("INSERT INTO p1 (id, num) SELECT id + 10, num FROM p1 WHERE num IS NOT NULL") == 2
+    assert one("UPDATE p1 SET num = num + ?, descr = 'x = y WHERE z' WHERE id > 1 AND num >= ?", 1, 6) == 2
+    assert rows(general.sql("SELECT id, descr, num FROM p1 WHERE id IN (1, 2, 3)")) == sorted([(1, "it's; where", 5), (2, "x = y WHERE z", 7), (3, "a ? 'b' \\ c", None)], key=repr)
+    assert one("UPSERT INTO p1 (id, num) VALUES (3, 30), (4, 40)") == 2
+    assert one("DELETE FROM p1 WHERE num > 6") == 4
+    assert one("DELETE FROM p1") == 2 and general.tables["p1"].read().isEmpty()
+    for bad in ("INSERT INTO p1 (id) VALUES (1, 2)", "UPDATE p1 num = 1", "INSERT INTO p1 (id) VALUES (?)"):
+        with pytest.raises(ValueError):
+            general.sql(bad)
+    with pytest.raises(ConstraintViolation):
+        general.sql("INSERT INTO p1 (id) VALUES (NULL)")
+
+
+def test_typed_functions_in_sql(general):
+    q = "SELECT int_div(-7, 2), dec_div(-1, 3), dec_mul(0.0000001, 0.0000019), difference('Robert', 'Rubin'), difference(NULL, 'a')"
+    assert tuple(general.sql(q).first()) == (-3, Decimal("-0.333333333333"), Decimal("0E-12"), 2, 0)
+
+
+def test_random_numbers(spark):
+    from cairnql.functions import random as rnd
+
+    df = spark.range(20_000)
+    flat = [r[0] for r in df.select(rnd.flat(F.col("id"), 5, 15, 1)).collect()]
+    assert set(flat) == set(range(5, 15)) and all(1700 < flat.count(x) < 2300 for x in range(5, 15))
+    assert flat == [r[0] for r in df.repartition(3).orderBy("id").select(rnd.flat(F.col("id"), 5, 15, 1)).collect()]
+    bell = [r[0] for r in df.select(rnd.gaussian(F.col("id"), 0, 100)).collect()]
+    assert min(bell) >= 0 and max(bell) < 100 and abs(sum(bell) / len(bell) - 50) < 1 and sum(25 <= x < 75 for x in bell) > 0.66 * len(bell)
+    hot = [r[0] for r in df.select(rnd.hot_warm_cold(F.col("id"), 0, 1000, 70, 5, 20, 15)).collect()]
+    assert abs(sum(x < 50 for x in hot) / 20_000 - 0.7) < 0.02 and abs(sum(50 <= x < 200 for x in hot) / 20_000 - 0.2) < 0.02
+    hist = spark.createDataFrame([("a", 1), ("b", 3)], "value string, count long")
+    drawn = dict(rows(rnd.from_histogram(df, F.col("id"), hist).groupBy("value").count()))
+    assert set(drawn) == {"a", "b"} and abs(drawn["b"] / 20_000 - 0.75) < 0.02
+
+
+def test_routing_numbers(spark):
+    """Against 32-bit arithmetic in Python, for negative, wide and null keys and beyond ASCII."""
+    signed = lambda x: (x + 2**31) % 2**32 - 2**31
+    longs = [0, 1, -1, 2**31 + 1, -(2**31) - 7, 2**62 + 12345, -(2**63), 2**63 - 1, None]
+    texts = ["", "a", "héllo wörld \U0001f600", "z" * 300, None]
+
+    def of_long(v):
+        return 0 if v is None else abs(signed((v ^ (v % 2**64 >> 32)) % 2**32)) % 10
+
+    def of_text(t):
+        h = 0
+        for b in (t or "").encode():
+            h = signed(31 * h + (b - 256 if b > 127 else b))
+        return abs(h) % 10
+
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(longs)], "i int, v long").orderBy("i").select(rel.hash_partition("long", F.col("v"), 10)).collect()
+    assert [r[0] for r in got] == [of_long(v) for v in longs]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string").orderBy("i").select(rel.hash_partition("string", F.col("v"), 10)).collect()
+    assert [r[0] for r in got] == [of_text(t) for t in texts]
+
+
+def test_partition_methods(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 7)
+    for method, n in (("hash", 4), ("range", 4), ("random", 4)):
+        assert rel.partitioned(df, method, n, "k").count() == 100
+    assert rel.partitioned(df, "none", 4).count() == rel.partitioned(df, "replication", 4).count() == 100
+    with pytest.raises(ValueError):
+        rel.partitioned(df, "other", 4)
+    parts = [r[0] for r in df.select(rel.combined_partition([F.col("id"), F.col("k")], 5)).collect()]
+    assert set(parts) == set(range(5))
+
+
+def test_snapshot_status_and_settings(general):
+    general.load("p1", general.spark.createDataFrame([(1, "a", 1, 1.0)], "id int, descr string, num int, ratio double"))
+    general.snapshot("s")
+    status = store.Snapshots(general.spark, f"{general.path}/_snapshots").status().collect()
+    assert {(r["snapshot"], r["table"]) for r in status} == {("s", "p1"), ("s", "p1_decimal")} and all(r["bytes"] > 0 for r in status)
+    general.configure(spark__sql__maxMetadataStringLength="321")
+    assert general.configuration().where("name = 'spark.sql.maxMetadataStringLength'").first()["value"] == "321"
+
+
 def test_stream_batch_counts_once(spark, tmp_path):
     view = ddl.View("v", "t", [("k", "k")], "n", [("SUM", "x", "s")])
     data = spark.createDataFrame([(1, 2), (1, 3), (2, None)], "k int, x int")
