@@ -40,8 +40,11 @@ def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once per application.
 
     Python workers import the functions they run from it, so it need not be installed there.
+    The archive lies in the shared folder of the session, or where none is named (tests on
+    one machine) in a temporary one.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app in _shipped:
         return
     top = Path(__file__).parent
@@ -49,7 +52,17 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")
-    folder = Path(tempfile.mkdtemp(prefix="cairnql-ship-"))
-    (folder / "cairnql-modules.zip").write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(str(folder / "cairnql-modules.zip"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        at = f"{shared.rstrip('/')}/cairnql-modules-{app}.zip"
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        out = files.create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        files.deleteOnExit(path)
+    else:
+        at = str(Path(tempfile.mkdtemp(prefix="cairnql-ship-")) / "cairnql-modules.zip")
+        Path(at).write_bytes(data.getvalue())
+    context.addPyFile(at)
     _shipped.add(app)
