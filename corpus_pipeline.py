@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnql.llm import common, langid, mixing, packing, pii, simhash
+from cairnql.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if some language has this mean probability.
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = common.save(stage(spark, docs, sf_dir))
