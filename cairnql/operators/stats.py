@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnql.operators.relational import ranked
+
 
 def histogram(df: DataFrame, value: Column | str, weight: Column | str | None = None) -> DataFrame:
     """Rows (value, count); nulls count as a value."""
@@ -68,8 +70,8 @@ def weighted_values(hist: DataFrame, block: int = 65_536) -> DataFrame:
 
 def spread_values(hist: DataFrame) -> DataFrame:
     """(value, position): the distinct values in order, evenly from -1 to 1, to ten digits."""
-    ranked = hist.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return ranked.select("value", F.round(F.when(F.col("n") > 1, -1 + F.col("k") * 2.0 / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(-1.0), 10).alias("position"))
+    top = max(1, hist.count() - 1)
+    return ranked(hist.select("value"), "value", "k").select("value", F.round(F.col("k") * (2.0 / top) - 1, 10).alias("position"))
 
 
 def column_histograms(df: DataFrame, *columns: str) -> DataFrame:

@@ -192,6 +192,13 @@ def test_histograms_as_the_dialect_measures_them(spark):
     assert rows(stats.spread_values(h)) == sorted([(1, -1.0), (2, 0.0), (5, 1.0)], key=repr)
 
 
+def test_ranks_in_slices(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("string").alias("v"))
+    got = {r["v"]: r["k"] for r in rel.ranked(df, "v", "k", slices=20, small=10).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(got))}
+    assert rows(rel.ranked(spark.createDataFrame([(None,), (3,), (1,)], "v int"), "v", "k", 2, 1)) == sorted([(None, 0), (1, 1), (3, 2)], key=repr)
+
+
 def test_changes_as_text(general):
     one = lambda *a: general.sql(*a).first()["modified_tuples"]
     assert one("INSERT INTO p1 VALUES (1, 'it''s; where', 5, 1.5), (2, NULL, 6, 2.5)") == 2
