@@ -10,20 +10,23 @@ from cairnql.sources.schema import View
 from cairnql.sources.store import VersionedTable
 
 
-def maintain(view: View, rows: DataFrame, store: VersionedTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merge each micro-batch of inserted rows into a view's state.
+def merge_batch(view: View, store: VersionedTable, source: str, batch: DataFrame, number: int) -> None:
+    """Merge one micro-batch into a view's state, once.
 
-    A batch is aggregated to its groups first.  The number of the last batch is part of the
-    state's commit, so a batch that is delivered again after a failure is not counted twice.
+    The number of a source's last batch is written in the same commit as the state; so a
+    batch that comes again after a failure, wherever that struck, is not counted twice.
     """
+    key = f"batch of {source}"
+    if store.note.get(key, -1) >= number:
+        return
+    change = views.delta(view, batch)
+    store.overwrite(views.merge(view, store.read(), change) if store.version else change, **{key: number})
+
+
+def maintain(view: View, rows: DataFrame, store: VersionedTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep a view over a stream of inserted rows; each micro-batch is aggregated to its groups first."""
     def apply(batch: DataFrame, number: int) -> None:
-        done = f"{store.path}/batch-{number}"
-        if store.files.exists(done):
-            return
-        state = store.read() if store.version else None
-        change = views.delta(view, batch)
-        store.overwrite(views.merge(view, state, change) if state is not None else change)
-        store.files.write_text(done, store.version or "")
+        merge_batch(view, store, checkpoint, batch, number)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -292,6 +292,15 @@ def test_stream_batch_counts_once(spark, tmp_path):
     assert rows(views.result(view, kept.read())) == [(1, 4, 10), (2, 2, None)]
 
 
+def test_a_batch_that_comes_again_is_not_counted(spark, tmp_path):
+    view = ddl.View("v", "t", [("k", "k")], "n", [])
+    data = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    kept = store.VersionedTable(spark, f"{tmp_path}/view", views.delta(view, data.limit(0)).schema)
+    for source, number in (("a", 0), ("a", 0), ("a", 1), ("b", 0), ("a", 1), ("b", 0)):
+        live.merge_batch(view, kept, source, data, number)
+    assert rows(kept.read()) == [(1, 6), (2, 3)]
+
+
 def test_plans_push_down_and_aggregate_in_part(spark, sf):
     from cairnql.plans.queries import QUERIES
 
