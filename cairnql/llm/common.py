@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,31 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_worker: dict[str, dict] = {"": {}}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps for one operator between its tasks.
+
+    Workers outlive a query; when another operator starts in one, what the last one kept goes,
+    so that a worker never holds the vocabularies and caches of several.
+    """
+    if owner not in _worker:
+        _worker.clear()
+        _worker[owner] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _worker[owner]
+
+
+def slices(batches: Iterable[pa.RecordBatch], owner: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A task's batches in small slices, so that few texts are Python objects at a time."""
+    worker_cache(owner)
+    for b in batches:
+        for o in range(0, b.num_rows, rows):
+            yield b.slice(o, rows)
+
+
 def unused(names: list[str], like: str) -> str:
     """A column name that none of ``names`` equals, whatever the case."""
     taken = {n.lower() for n in names}

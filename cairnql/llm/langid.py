@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LENGTH = 64  # bytes of a segment
 HIDDEN = 8
 #: Bounds of the training sample: languages (the most frequent), documents of each on average, segments of a document.
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col:
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCUMENTS / n))])
-    at = F.pmod(F.xxhash64(id_col, F.substring(text_col, 1, 200)), F.lit(1 << 40)) / float(1 << 40)
+    at = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / float(1 << 40)
     chosen = rows.where(at < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,17 +236,15 @@ def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for whole in batches:
-            for o in range(0, whole.num_rows, 512):
-                b = whole.slice(o, 512)
-                texts = b.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if t and net and any(map(str.isalpha, t))]
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if known:
-                    p = read(net, [texts[i].encode("utf-8", "replace") for i in known])
-                    for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1)):
-                        lang[i], score[i] = net.languages[k], min(1.0, s)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*names, "lang_pred", "lang_score"])
+        for b in slices(batches, "language"):
+            texts = b.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if t and net and any(map(str.isalpha, t))]
+            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if known:
+                p = read(net, [texts[i].encode("utf-8", "replace") for i in known])
+                for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1)):
+                    lang[i], score[i] = net.languages[k], min(1.0, s)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*names, "lang_pred", "lang_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, schema + ", lang_pred string, lang_score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, save
+from .common import positions, save, slices, worker_cache
 
 CAPACITY = 2048
 CACHED_WORDS, CACHED_BYTES = 400_000, 48
@@ -85,14 +85,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_path: str) -> WordIds:
     """The worker's cache for a vocabulary file."""
-    if tokenizer_path not in _loaded:
-        _loaded[tokenizer_path] = WordIds(tokenizer_path)
-    return _loaded[tokenizer_path]
+    kept = worker_cache("packing")
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = WordIds(tokenizer_path)
+    return kept[tokenizer_path]
 
 
 def pieces(
@@ -118,7 +116,7 @@ def pieces(
                 cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in data], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(cols, names)
 
-        for b in batches:
+        for b in slices(batches, "packing"):
             rows: list[tuple] = []
             for at, text in enumerate(b.column(1).cast(pa.large_binary())):
                 raw = words.text(text.as_py()) + end

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, unused
+from .common import save, slices, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -119,9 +119,9 @@ def disclosure(
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "pii"):
             rows: list[tuple] = []
-            for n, text in enumerate(b.column(0).to_pylist()):
+            for text in b.column(0).to_pylist():
                 seen: dict[tuple[int, str], int] = {}
                 spans = base_spans(text)
                 for c, w, ts in neighbours(text, spans) if spans else ():
@@ -151,7 +151,7 @@ def disclosure(
             counts.clear()
             return b
 
-        for b in batches:
+        for b in slices(batches, "pii"):
             for text in b.column(0).to_pylist():
                 own = {t for t, _, _ in terms(text)}
                 counts.update(own if known is None else own & known)
@@ -227,7 +227,7 @@ def sanitise(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = held.value if held else {}
-        for b in batches:
+        for b in slices(batches, "pii"):
             spans, texts = [], []
             flags = b.column(b.num_columns - 1).to_pylist() if held is None else None
             for i, text in enumerate(b.column(at).to_pylist()):

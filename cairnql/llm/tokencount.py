@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, worker_cache
+
 Sections = Callable[[str], list[tuple[str, int, int]]]
 RULES = ("first", "last", "largest")
 #: Texts longer than this many characters are encoded piece by piece, cut where the vocabulary's pattern always cuts.
@@ -53,14 +55,12 @@ class _Encoder:
         return np.concatenate(out).astype(np.int64)
 
 
-_loaded: dict[str, _Encoder] = {}
-
-
 def encoder(path: str) -> _Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = _Encoder(path)
-    return _loaded[path]
+    kept = worker_cache("token counts")
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 def byte_starts(text: str, raw: bytes) -> np.ndarray | None:
@@ -109,30 +109,28 @@ def token_counts(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
-        for whole in batches:
-            for o in range(0, whole.num_rows, 256):
-                b = whole.slice(o, 256)
-                at, number, name, start, end, tokens, total = ([] for _ in range(7))
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    found = sections(text) if text else []
-                    spans = np.array([(s, e) for _, s, e in found] or [(0, 0)], np.int64).reshape(-1, 2)
-                    counts, n = np.zeros(len(spans), np.int64), 0
-                    if text:
-                        ids = enc.ids(text)
-                        n = len(ids)
-                        where = byte_starts(text, text.encode("utf-8", "replace"))
-                        if found:
-                            counts = attribute(enc.sizes[ids].cumsum(), spans if where is None else where[spans], rule)
-                    at.append(np.full(len(spans), i))
-                    number.append(np.arange(len(spans), dtype=np.int32))
-                    name += [x for x, _, _ in found] or ["empty"]
-                    start.append(spans[:, 0])
-                    end.append(spans[:, 1])
-                    tokens.append(counts)
-                    total.append(np.full(len(spans), n))
-                if at:
-                    cat = lambda x: pa.array(np.concatenate(x))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(cat(at)), cat(number), pa.array(name), cat(start), cat(end), cat(tokens), cat(total)], ["id", "section", "name", "start", "end", "tokens", "total"])
+        for b in slices(batches, "token counts", 256):
+            at, number, name, start, end, tokens, total = ([] for _ in range(7))
+            for i, text in enumerate(b.column(1).to_pylist()):
+                found = sections(text) if text else []
+                spans = np.array([(s, e) for _, s, e in found] or [(0, 0)], np.int64).reshape(-1, 2)
+                counts, n = np.zeros(len(spans), np.int64), 0
+                if text:
+                    ids = enc.ids(text)
+                    n = len(ids)
+                    where = byte_starts(text, text.encode("utf-8", "replace"))
+                    if found:
+                        counts = attribute(enc.sizes[ids].cumsum(), spans if where is None else where[spans], rule)
+                at.append(np.full(len(spans), i))
+                number.append(np.arange(len(spans), dtype=np.int32))
+                name += [x for x, _, _ in found] or ["empty"]
+                start.append(spans[:, 0])
+                end.append(spans[:, 1])
+                tokens.append(counts)
+                total.append(np.full(len(spans), n))
+            if at:
+                cat = lambda x: pa.array(np.concatenate(x))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(cat(at)), cat(number), pa.array(name), cat(start), cat(end), cat(tokens), cat(total)], ["id", "section", "name", "start", "end", "tokens", "total"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, section int, name string, start long, end long, tokens long, total long"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices
 
 #: Bounds of the learning sample (documents of each label on average) and of the lexicon.
 DOCUMENTS, ENTRIES, PHRASES = 4000, 4000, 2000
@@ -303,7 +303,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = held.value
         a, c = matcher.get(), matcher.lexicon.calibration
-        for b in batches:
+        for b in slices(batches, "toxicity"):
             p = [probability(measures(t, a), c) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*names, "toxicity"])
 
