@@ -62,16 +62,21 @@ def fold(text: str | None) -> str:
         text = unicodedata.normalize("NFC", text)
     if "$" in text or "@" in text or "!" in text:
         text = SYMBOL.sub(lambda m: {"@": "a", "$": "s", "!": "i"}[m[0]], text)
-    text = text.translate(TABLE)
-    words = text.split()
-    if DIGIT.search(text):
-        more: list[str] = []
-        for i, w in enumerate(words):
-            if DIGIT.search(w) and not w.isdigit():
-                words[i], other = (w.translate(t) for t in DIGITS)
-                more += [other] * (other != words[i])
-        words += more
-    return f" {' '.join(words)} "
+    text = " ".join(text.translate(TABLE).split())
+    parts: list[str] = []
+    more: list[str] = []
+    done, digit = 0, DIGIT.search(text)
+    while digit:
+        start = text.rfind(" ", done, digit.start()) + 1 or done
+        end = text.find(" ", digit.start()) + 1 or len(text) + 1
+        word = text[start : end - 1]
+        read, other = (word,) * 2 if word.isdigit() else (word.translate(t) for t in DIGITS)
+        parts += [text[done:start], read]
+        more += [other] * (other != read)
+        done = end - 1
+        digit = DIGIT.search(text, done)
+    parts.append(text[done:])
+    return " ".join(["", "".join(parts), *more, ""])
 
 
 def features(text: str) -> set[str]:
