@@ -1,149 +1,91 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-In each pass the vectors are ordered lexicographically by a string of random hashes (signs
-of random projections); near vectors likely share a long prefix and so stand close.  Every
-vector is compared with bounded windows of its neighbours and verified by its cosine in
-double precision; the links of all passes are united into components.  As windows may miss
-links inside a large group, the links of each component are then counted afresh, tile
-against tile, so that no cap on neighbours remains.  Equal vectors are one row throughout.
+"""Embedding near-duplicates by comparing all pairs, tile against tile.
+
+Equal vectors are one row throughout.  The others are dealt to tiles of bounded size by a
+hash, and each pair of tiles is one group of one task, so every pair of vectors meets exactly
+once, however many there are and however dense they lie, and no task holds more than two
+tiles.  Products in single precision set aside the pairs that cannot reach the threshold by
+more than their rounding error; all others are decided in double precision.  The work grows
+with the square of the number of different vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, save
 from .vectors import by_dimension, finite, unit
 
-BITS = 60
-CHUNK, WINDOW, TILE = 1024, 256, 1024
-
-
-def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest member) rows that span the components of a small graph."""
-    at = np.flatnonzero(near.sum(axis=1) > 1)
-    near = near[np.ix_(at, at)]
-    n = len(at)
-    label = np.arange(n)
-    while n:
-        low = np.where(near, label[None, :], n).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = label != np.arange(n)
-    return at[moved], at[label[moved]]
-
-
-def _signatures(reps: DataFrame, passes: int, seed: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        power = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for b in batches:
-            for at, x in by_dimension(b.column(1)):
-                dim = x.shape[1]
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, BITS * passes))
-                bits = (unit(x) @ planes[dim] > 0).reshape(len(x), passes, BITS)
-                keys = (bits * power).sum(axis=2)
-                take = pa.array(np.tile(at, passes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(passes, dtype=np.int32), len(at))), pa.array(np.full(len(take), dim, np.int32)), pa.array(keys.T.ravel()), b.column(0).take(take), b.column(1).take(take)],
-                    ["pass", "dim", "key", "rid", "v"],
-                )
-
-    return reps.select("rid", "v").mapInArrow(run, f"pass int, dim int, key long, rid long, v {reps.schema['v'].dataType.simpleString()}")
-
-
-def _windows(ordered: DataFrame, threshold: float) -> DataFrame:
-    """Links within the windows of sorted partitions, and the rows at the partitions' ends."""
-    kind = ordered.schema["v"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        tail = None
-        seen = 0
-
-        def ends(b: pa.RecordBatch, edge: int) -> pa.RecordBatch:
-            n = b.num_rows
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, edge, np.int32)), b["pass"], b["rid"], b["v"]], names)
-
-        names = ["u", "v", "edge", "pass", "rid", "vec"]
-        for batch in batches:
-            for o in range(0, batch.num_rows, CHUNK):
-                new = batch.slice(o, CHUNK)
-                if seen < WINDOW:  # these also face the end of the partition before
-                    yield ends(new.slice(0, WINDOW - seen), part - 1)
-                seen += new.num_rows
-                both = pa.Table.from_batches([tail, new] if tail is not None else [new]).combine_chunks().to_batches()[0]
-                u, v = _links(both, threshold)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), batch["v"].type)], names)
-                tail = both.slice(max(0, both.num_rows - WINDOW))
-        if tail is not None:
-            yield ends(tail, part)
-
-    return ordered.mapInArrow(run, f"u long, v long, edge int, pass int, rid long, vec {kind}")
-
-
-def _links(b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among rows of the same pass and dimension."""
-    rid, turn = b["rid"].to_numpy(), b["pass"].to_numpy()
-    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at, x in by_dimension(b["v"] if "v" in b.schema.names and pa.types.is_list(b["v"].type) else b["vec"]):
-        x = unit(x)
-        near = (x @ x.T >= threshold) & (turn[at][:, None] == turn[at][None, :])
-        np.fill_diagonal(near, True)
-        i, j = _spanning(near)
-        us.append(rid[at[i]])
-        vs.append(rid[at[j]])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _count(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """(rid, n): the multiplicity of all vectors of the same component that link with each.
-
-    Small components share a group; a component of more than ``tile`` rows is cut in tiles
-    and each pair of tiles is a group, so no task holds a whole component and no pair is
-    written."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(sizes, "comp").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    groups = max(1, members.count() // 512)
-    mine = F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")
-    spread = rows.withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(-F.col("comp") - 1).alias("g"),
-        F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "comp", "rid", "m", "v",
-    )
+#: Rows and columns of a block of products, and vectors of a tile; none of them changes a result.
+CHUNK, WINDOW, TILE = 1024, 256, 8192
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of ``a`` and ``b``; ``label`` holds the smallest member of each."""
+    while len(a):
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        label[:] = up[label]
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+
+
+def _compare(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each unit vector, weighed by ``m``, and its component, from all pairs of left and right.
+
+    Left and right are the same rows or have none in common."""
+    label, n = np.arange(len(x)), np.zeros(len(x), np.int64)
+    same = left is right
+    low = threshold - (x.shape[1] + 8) * 2.0**-22  # beyond the rounding of single precision
+    y = x.astype(np.float32)
+    for i in range(0, len(left), CHUNK):
+        rows = left[i : i + CHUNK]
+        for j in range(0, len(right), WINDOW):
+            cols = right[j : j + WINDOW]
+            maybe = y[rows] @ y[cols].T >= low
+            r, c = rows[maybe.any(axis=1)], cols[maybe.any(axis=0)]
+            if not len(r):
+                continue
+            near = (x[r] @ x[c].T >= threshold) & (r[:, None] != c[None, :])
+            n[r] += (near * m[c][None, :]).sum(axis=1)
+            if not same:
+                n[c] += (near * m[r][:, None]).sum(axis=0)
+            u, v = np.nonzero(near)
+            u, v = label[r[u]], label[c[v]]
+            _unite(label, u[u != v], v[u != v])
+    return n, label
+
+
+def _links(reps: DataFrame, rows: int, threshold: float, tile: int) -> DataFrame:
+    """(rid, n, top) for each vector and pair of tiles in which it links with others."""
+    tiles = max(1, -(-rows // tile))
+    spread = (
+        reps.select("rid", "m", "v", F.pmod(F.xxhash64("rid"), F.lit(tiles)).cast("int").alias("t"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        .select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rid", "m", "v")
+    )
 
     def run(table: pa.Table) -> pa.Table:
         b = table.combine_chunks()
-        i, j, t, comp, rid, m = (b[c].to_numpy() for c in ("i", "j", "t", "comp", "rid", "m"))
-        ids, out = [], []
+        i, j, t, rid, m = (b[c].to_numpy() for c in ("i", "j", "t", "rid", "m"))
+        out = [(np.empty(0, np.int64),) * 3]
         for at, x in by_dimension(b["v"].chunk(0)):
-            x = unit(x)
-            for a in range(0, len(x), CHUNK):
-                r = at[a : a + CHUNK]
-                near = (x[a : a + CHUNK] @ x.T >= threshold) & (comp[r][:, None] == comp[at][None, :]) & (rid[r][:, None] != rid[at][None, :])
-                if i[0] != j[0]:
-                    near &= t[r][:, None] != t[at][None, :]
-                ids.append(rid[r])
-                out.append((near * m[at][None, :]).sum(axis=1))
-        return pa.table({"rid": np.concatenate(ids), "n": np.concatenate(out)})
+            left = np.flatnonzero(t[at] == i[0])
+            n, label = _compare(unit(x), m[at], left, left if i[0] == j[0] else np.flatnonzero(t[at] == j[0]), threshold)
+            linked = n > 0
+            out.append((rid[at][linked], n[linked], rid[at[label]][linked]))
+        return pa.table(dict(zip(("rid", "n", "top"), map(np.concatenate, zip(*out)))))
 
-    counted = spread.groupBy("g", "i", "j").applyInArrow(run, "rid long, n long")
-    return counted.groupBy("rid").agg(F.sum("n").alias("n"))
+    return spread.groupBy("i", "j").applyInArrow(run, "rid long, n long, top long")
 
 
 def near_duplicates(
-    vectors: DataFrame, *, threshold: float = 0.95, passes: int = 12, seed: int = 7, tile: int = TILE,
-    id_col: str = "vec_id", vector_col: str = "embedding",
-) -> DataFrame:
+    vectors: DataFrame, *, threshold: float = 0.95, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """One row per input row: (id, n_links, component).
 
     ``n_links`` counts the other rows with a cosine of at least ``threshold``, equal vectors
@@ -155,19 +97,10 @@ def near_duplicates(
     good = finite("v") & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     valid = at.where(good)
     reps = save(valid.groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).withColumn("rid", F.monotonically_increasing_id()))
-    n = reps.count()
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * passes // 50_000)
-    ordered = _signatures(reps, passes, seed).repartitionByRange(parts, "pass", "dim", "key", "rid").sortWithinPartitions("pass", "dim", "key", "rid")
-    seen = save(_windows(ordered, threshold))
-
-    def across(table: pa.Table) -> pa.Table:
-        u, v = _links(table.combine_chunks().to_batches()[0], threshold)
-        return pa.table({"u": u, "v": v})
-
-    borders = seen.where("edge >= 0").select("edge", "pass", "rid", "vec").groupBy("edge").applyInArrow(across, "u long, v long")
-    comps = connected_components(seen.where("u IS NOT NULL").select("u", "v").union(borders))
-    members = save(reps.join(comps.select(F.col("node").alias("rid"), "comp"), "rid"))
-    linked = _count(members, threshold, tile)
+    seen = save(_links(reps, reps.count(), threshold, tile))
+    comps = connected_components(seen.select(F.col("rid").alias("u"), F.col("top").alias("v")))
+    members = save(reps.select("rid", "first").join(comps.select(F.col("node").alias("rid"), "comp"), "rid"))
+    linked = seen.groupBy("rid").agg(F.sum("n").alias("n"))
     least = members.groupBy("comp").agg(F.min("first").alias("component"))
     more = members.select("rid", "comp").join(least, "comp").join(linked, "rid").select("rid", "component", "n")
     known = reps.join(more, "rid", "left").select(

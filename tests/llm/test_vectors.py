@@ -46,6 +46,21 @@ def test_small_windows_miss_few_links(spark, monkeypatch):
     assert sorted(map(len, large)) == [200, 200, 200] and all(n == 199 for v in large for n in v)
 
 
+def test_no_link_is_lost_in_a_dense_cone(spark, monkeypatch):
+    """Vectors with mutual cosines of about 0.9, far more than a window holds, each linked with one other."""
+    monkeypatch.setattr(neardup_vectors, "WINDOW", 8)
+    monkeypatch.setattr(neardup_vectors, "CHUNK", 8)
+    r = np.random.default_rng(11)
+    x = np.sqrt(0.9) * np.eye(64)[0] + np.sqrt(0.1 / 63) * r.standard_normal((400, 64)) * (np.arange(64) > 0)
+    x = np.concatenate([x, x + 0.025 * r.standard_normal(x.shape)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = smallest_in_component(range(len(x)), zip(*map(list, np.nonzero(near))))
+    got = {r["id"]: (r["n_links"], r["component"]) for r in neardup_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), tile=150).collect()}
+    assert near.sum() >= 700 and got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+
+
 def brute_top(x, asked, k):
     q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
     out = []
