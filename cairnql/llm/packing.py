@@ -23,7 +23,7 @@ from .common import positions, save, slices, worker_cache
 CAPACITY = 2048
 CACHED_WORDS, CACHED_BYTES = 400_000, 48
 #: Bins closed by the whole search, candidates tried for one bin, and steps to enumerate them.
-NODES, BRANCH, STEPS = 5_000, 6, 1_500
+NODES, BRANCH, STEPS = 40_000, 6, 3_000
 #: Latin letters without a decomposition to come, then ASCII punctuation other than the apostrophe: always two pre-tokens.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -200,7 +200,7 @@ def fillings(have: list[int], counts: dict[int, int], room: int) -> list[Filling
     if counts.get(room):
         return [(room,)]
     found: dict[Filling, int] = {}
-    steps = STEPS
+    steps, worst = STEPS, -1
 
     def dominated(f: Filling, waste: int) -> bool:
         if not waste:
@@ -215,7 +215,7 @@ def fillings(have: list[int], counts: dict[int, int], room: int) -> list[Filling
         return False
 
     def grow(f: Filling, left: int, top: int) -> bool:
-        nonlocal steps
+        nonlocal steps, worst
         i = bisect.bisect_right(have, min(left, top)) - 1
         fitted = False
         while i >= 0 and steps > 0:
@@ -234,9 +234,10 @@ def fillings(have: list[int], counts: dict[int, int], room: int) -> list[Filling
         if not fitted and f:
             least = have[0] if counts[have[0]] > f.count(have[0]) else have[1] if len(have) > 1 else left + 1
             if (least > left or not any(counts[h] > f.count(h) for h in have[: bisect.bisect_right(have, left)])) and (
-                len(found) < 4 * BRANCH or left < max(found.values())
+                len(found) < 4 * BRANCH or left < worst
             ):
                 found[f] = left
+                worst = max(worst, left)
             return left == 0
         return False
 

