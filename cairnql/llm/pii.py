@@ -9,6 +9,8 @@ a threshold are generalised, and removed above a second one, wherever they occur
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,6 +32,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
 WORD = re.compile(r"\S+")
 WINDOW = 8
+#: A pair of entity and term counts if chance would bring it about no more often than this.
+LEVEL = 0.05
 BROADCAST_TERMS = 500_000
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -89,32 +93,69 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
 
 def neighbours(text: str, spans: list[Span], window: int = WINDOW) -> Iterator[tuple[int, int, set[str]]]:
     """(entity, hash of the window, terms) for each base span: the words on either side that no span covers."""
-    covered = sorted((a, b) for _, a, b in spans)
+    ends: list[tuple[int, int]] = []  # covered stretches, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(ends[-1][1], b))
+        else:
+            ends.append((a, b))
+
+    def bare(a: int, b: int) -> bool:
+        i = bisect.bisect_left(ends, (b,)) - 1
+        return i < 0 or ends[i][1] <= a
+
+    every = [m.span() for m in WORD.finditer(text)]
+    words = [w for w in every if bare(*w)]
+    starts = [a for a, _ in words]
+    known: dict[tuple[int, int], tuple[str, set[str]]] = {}
+
+    def word(w: tuple[int, int]) -> tuple[str, set[str]]:
+        if w not in known:
+            part = text[slice(*w)]
+            known[w] = xxhash.xxh64_hexdigest(part.encode("utf-8", "replace")), {t for t, _, _ in terms(part)}
+        return known[w]
+
     for span in spans:
         _, a, b = span
-        before: list[str] = []
-        left = max(0, a - 64 * window)
-        for m in WORD.finditer(text, left, a):
-            if not any(x < m.end() and m.start() < y for x, y in covered):
-                before.append(m[0])
-        after: list[str] = []
-        for m in WORD.finditer(text, b, b + 64 * window):
-            if len(after) == window:
-                break
-            if not any(x < m.end() and m.start() < y for x, y in covered):
-                after.append(m[0])
-        words = [*before[-window:], *after]
-        yield entity(text, span), xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace")) - (1 << 63), {t for t, _, _ in terms(" ".join(words))}
+        before = words[max(0, bisect.bisect_left(starts, a) - window) : bisect.bisect_left(starts, a)]
+        i = bisect.bisect_left(every, (a,)) - 1
+        if i >= 0 and every[i][1] > a and bare(every[i][0], a):  # the word runs into the span
+            before = [*before, (every[i][0], a)][-window:]
+        at = bisect.bisect_left(starts, b)
+        after = words[at : at + window]
+        i = bisect.bisect_left(every, (b,)) - 1
+        if i >= 0 and every[i][1] > b and bare(b, every[i][1]):
+            after = [(b, every[i][1]), *after][:window]
+        near = [word(w) for w in (*before, *after)]
+        yield entity(text, span), xxhash.xxh64_intdigest(" ".join(h for h, _ in near)) - (1 << 63), set().union(*(t for _, t in near))
+
+
+def chance(k: int, c: int, t: int, n: int) -> float:
+    """Probability that of ``n`` surroundings, ``c`` of an entity and ``t`` with a term, ``k`` or more are both by chance."""
+    if k * n <= c * t:
+        return 1.0
+
+    def choose(x: int, y: int) -> float:
+        return math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+
+    p = math.exp(choose(c, k) + choose(n - c, t - k) - choose(n, t))
+    total = 0.0
+    while p > 1e-12 * total:  # past the mean each term is smaller than the one before
+        total += p
+        p *= (c - k) * (t - k) / ((k + 1) * (n - c - t + k + 1))
+        k += 1
+    return min(1.0, total)
 
 
 def disclosure(
-    docs: DataFrame, *, threshold: float = 0.9, windows: int = 3, text_col: str = "text"
+    docs: DataFrame, *, threshold: float = 0.9, level: float = LEVEL, text_col: str = "text"
 ) -> DataFrame:
     """Rows (term, share) for terms that disclose at least ``threshold`` of some entity.
 
     Counts are of documents: with the entity, with the term near it, with the term anywhere.
-    A pair counts only if it was seen in ``windows`` different surroundings, so copies of one
-    passage are one piece of evidence, however many there are.
+    A pair counts, however seldom it was seen, if meeting so often by chance is no likelier
+    than ``level`` (``chance``).  That test counts different surroundings of entities, all of
+    a document's, so copies of one passage are one piece of evidence, however many there are.
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
 
@@ -122,19 +163,21 @@ def disclosure(
         for b in slices(batches, "pii"):
             rows: list[tuple] = []
             for text in b.column(0).to_pylist():
-                seen: dict[tuple[int, str], int] = {}
+                seen: set[tuple[int, str, int]] = set()
+                met_here: set[tuple[int, str]] = set()
                 spans = base_spans(text)
                 for c, w, ts in neighbours(text, spans) if spans else ():
                     for t in {"", *ts}:
-                        seen.setdefault((c, t), w)
-                rows += [(c, t, w) for (c, t), w in seen.items()]
+                        if (c, t, w) not in seen:
+                            seen.add((c, t, w))
+                            rows.append((c, t, w, int((c, t) not in met_here)))
+                            met_here.add((c, t))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64())], ["c", "t", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["c", "t", "w", "d"])
 
-    met = texts.mapInArrow(near, "c long, t string, w long")
-    met = met.groupBy("c", "t", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("c", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w"))
-    met = save(met.where(F.col("w") >= windows))
+    met = texts.mapInArrow(near, "c long, t string, w long, d long")
+    met = save(met.groupBy("c", "t", "w").agg(F.sum("d").alias("n")).groupBy("c", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w")))
     pairs = met.where("t <> ''")
     wanted = save(pairs.select("t").distinct())
     few = wanted.count()
@@ -161,11 +204,20 @@ def disclosure(
 
     df = texts.mapInArrow(anywhere, "t string, nt long").groupBy("t").agg(F.sum("nt").alias("nt"))
     n = docs.count()
-    ent = met.where("t = ''").selectExpr("c", "n AS nc")
-    joint = pairs.join(ent, "c").join(df, "t")
+    ent = met.where("t = ''").selectExpr("c", "n AS nc", "w AS wc")
+    around = pairs.groupBy("t").agg(F.sum("w").alias("wt"))
+    total = ent.agg(F.sum("wc")).first()[0]
+    joint = pairs.join(ent, "c").join(df, "t").join(around, "t")
     pmi = F.log(F.col("n") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
-    scored = joint.where(F.col("nc") < n).select(F.col("t").alias("term"), (pmi / F.log(F.lit(float(n)) / F.col("nc"))).alias("share"))
-    return save(scored.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold))
+    scored = joint.where(F.col("nc") < n).withColumn("share", pmi / F.log(F.lit(float(n)) / F.col("nc"))).where(F.col("share") >= threshold)
+
+    def tested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, wc, wt = (b.column(i).to_pylist() for i in (2, 3, 4))
+            yield b.select(["term", "share"]).filter(pa.array([chance(*x, total) <= level for x in zip(w, wc, wt)], pa.bool_()))
+
+    kept = scored.select(F.col("t").alias("term"), "share", "w", "wc", "wt").mapInArrow(tested, "term string, share double")
+    return save(kept.groupBy("term").agg(F.max("share").alias("share")))
 
 
 def _mark(text: str | None, found: dict[str, bool]) -> tuple[list[Span], str | None]:
@@ -192,7 +244,7 @@ def _mark(text: str | None, found: dict[str, bool]) -> tuple[list[Span], str | N
 
 
 def sanitise(
-    docs: DataFrame, *, threshold: float = 0.9, remove: float = 0.97, windows: int = 3, text_col: str = "text"
+    docs: DataFrame, *, threshold: float = 0.9, remove: float = 0.97, level: float = LEVEL, text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` with ``pii_spans`` (kind, start, end) and ``pii_text`` added.
 
@@ -201,7 +253,7 @@ def sanitise(
     stay null.  Columns of these two names are replaced; all others pass through.
     """
     docs = docs.drop("pii_spans", "pii_text")
-    flagged = disclosure(docs, threshold=threshold, windows=windows, text_col=text_col)
+    flagged = disclosure(docs, threshold=threshold, level=level, text_col=text_col)
     spark = docs.sparkSession
     names = docs.columns
     at = names.index(text_col)

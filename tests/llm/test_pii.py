@@ -102,6 +102,28 @@ def test_disclosure_against_plain_counts(spark):
     assert {"zaphod", "trillium"} <= set(got) and not {"sea", "the", "marvelous"} & set(got)
 
 
+def test_entities_seen_once_or_twice(spark):
+    texts = [prose(i, 40) for i in range(60)]
+    texts += [f"{prose(i, 5)} case {i} at u{i}@example.org {prose(i + 20, 5)}" for i in range(30)]
+    texts += [f"{prose(i + 7, 9)} Zaphod by zb@example.org {prose(i + 90, 9)}" for i in range(2)]
+    texts += [" ".join(f"{prose(50 + i, 9)} Trillium by tm@example.org {prose(80 + i, 9)}" for i in range(9))]
+    d = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r["term"]: r["share"] for r in pii.disclosure(d).collect()}
+    assert got["zaphod"] == pytest.approx(1) == got["trillium"] and not {"sea", "the", "case"} & set(got)
+
+
+def test_chance_against_all_draws():
+    for n, c, t in [(9, 4, 3), (12, 1, 1), (12, 6, 6), (10, 8, 7), (7, 7, 3)]:
+        for k in range(max(0, c + t - n), min(c, t) + 1):
+            want = sum(math.comb(c, x) * math.comb(n - c, t - x) for x in range(k, min(c, t) + 1)) / math.comb(n, t)
+            assert pii.chance(k, c, t, n) == pytest.approx(want if k * n > c * t else 1.0)
+
+
+def test_neighbours_are_words_however_long():
+    text = f"Marvin {'x' * 600} a@b.org {'y' * 600} Trillium c@d.org"
+    assert all({"marvin", "trillium"} <= ts for _, _, ts in pii.neighbours(text, pii.base_spans(text)))
+
+
 @pytest.mark.parametrize("held", [True, False])
 def test_sanitised_texts(spark, monkeypatch, held):
     if not held:
