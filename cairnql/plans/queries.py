@@ -113,6 +113,7 @@ both("join_residual", "SELECT o.o_orderkey, l.l_linenumber FROM {orders} o JOIN
 both("left_join", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 450000")
 both("right_join", "SELECT n.n_name, s.s_suppkey FROM {supplier} s RIGHT JOIN {nation} n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000")
 both("full_join", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey < 80) c FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey > 40) s ON c.c_custkey = s.s_suppkey")
+both("full_join_whole", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL JOIN {supplier} s ON c.c_custkey = s.s_suppkey")
 both("semi_join", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 both("anti_join", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
 both("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -136,6 +137,14 @@ def theta_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.interval_join(e, p, F.col("value"), low, low + 0.05, 5).select("event_id", "p_partkey")
 
 
+@query("SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.value >= p.p_size * 10 AND e.value <= p.p_size * 10 + 0.05")
+def theta_range_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    low = F.col("p_size") * F.lit(10.0)
+    return rel.interval_join(e, p, F.col("value"), low, low + 0.05, 5).select("event_id", "p_partkey")
+
+
 # ---- aggregates
 
 both("agg_global", f"SELECT COUNT(*) AS n, {money('l_quantity')} AS qty, MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi FROM {{lineitem}}")
@@ -564,6 +573,12 @@ def sql_typed_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT o_orderkey, int_div(o_orderkey, 7) AS q FROM orders WHERE o_orderkey < ?", 1000)
 
 
+@query("SELECT o_orderkey, o_orderkey // 7 AS q FROM orders")
+def sql_typed_arithmetic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark)).attach(orders=table(spark, sf_dir, "orders"))
+    return e.sql("SELECT o_orderkey, int_div(o_orderkey, 7) AS q FROM orders")
+
+
 # ---- shapes of the transactional workloads' reports
 
 both("broker_volume", f"""SELECT s.s_name, {money('l.l_extendedprice')} AS volume FROM {{supplier}} s, {{nation}} n, {{region}} r, {{lineitem}} l, {{orders}} o, {{customer}} c, {{part}} p

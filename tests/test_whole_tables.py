@@ -1,0 +1,22 @@
+"""Queries over whole tables, on keys that the queries over a range of ids leave out."""
+
+from cairnql.plans.queries import QUERIES
+
+
+def test_keys_beyond_the_ranges(spark, tmp_path):
+    parts, values = [(1, 3), (499, 7), (500, 3), (90_000, 9)], [(1, 30.0), (2, 30.04), (3, 90.05), (4, 70.06), (5, 69.99)]
+    for name, rows, schema in (
+        ("part", parts, "p_partkey long, p_size int"),
+        ("events", values, "event_id long, value double"),
+        ("customer", [(1,), (80,), (5000,)], "c_custkey long"),
+        ("supplier", [(1,), (41,), (5000,)], "s_suppkey long"),
+        ("orders", [(6,), (1000,), (700_001,)], "o_orderkey long"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def rows(name):
+        return {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    assert rows("theta_range_join_whole") == {(e, p) for e, v in values for p, s in parts if s * 10 <= v <= s * 10 + 0.05}
+    assert rows("full_join_whole") == {(1, 1), (80, None), (None, 41), (5000, 5000)}
+    assert rows("sql_typed_arithmetic_whole") == {(6, 0), (1000, 142), (700_001, 100_000)}
