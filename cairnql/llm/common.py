@@ -59,12 +59,13 @@ def worker_cache(owner: str) -> dict:
     return _worker[owner]
 
 
-def slices(batches: Iterable[pa.RecordBatch], owner: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """A task's batches in small slices, so that few texts are Python objects at a time."""
+def slices(batches: Iterable[pa.RecordBatch], owner: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A task's batches in slices of at most ``rows`` rows and about ``size`` bytes, so that few texts are Python objects at a time."""
     worker_cache(owner)
     for b in batches:
-        for o in range(0, b.num_rows, rows):
-            yield b.slice(o, rows)
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for o in range(0, b.num_rows, step):
+            yield b.slice(o, step)
 
 
 def unused(names: list[str], like: str) -> str:
@@ -80,10 +81,12 @@ def positions(df: DataFrame, cls: str, order: list[str], out: str, rows: int) ->
 
     Rows of a class are dealt to hash buckets of about 20,000 rows; a row's position is the
     number of rows in earlier buckets plus its number in its own, so that no task ever holds
-    a whole (possibly hot) class.  ``order`` names columns that set the order in a bucket.
+    a whole (possibly hot) class.  ``order`` names columns that set the order in a bucket;
+    a number of the row is hashed with them, as wholly repeated rows have all of them in
+    common.  ``df`` must be saved, for it is read twice and rows must keep their numbers.
     """
     buckets = max(64, rows // 20_000)
-    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    b = df.withColumn("_b", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id() % 64), F.lit(buckets)))
     counts = b.groupBy(cls, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -95,13 +98,24 @@ def positions(df: DataFrame, cls: str, order: list[str], out: str, rows: int) ->
     return joined.withColumn(out, (F.col("_start") + F.col("_k")).cast("long")).drop("_b", "_k", "_cls", "_b2", "_start")
 
 
+#: Rows of two numbers that a join may send to every executor: some 10 MB.
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (saved, a few numbers a row) for a join: broadcast if counted within the bound, else as Spark plans it."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as rows (u, v) of longs: rows (node, comp).
 
     ``comp`` is the smallest node of the component; nodes without an edge do not appear.
     Every round hooks each node to its smallest neighbour, jumps pointers until all trees are
     stars and contracts the edges; at least half of the nodes with edges go each round.  All
-    state stays in distributed tables; only row counts reach the driver.
+    state stays in distributed tables; only row counts reach the driver.  The side of a join
+    with one row a node is broadcast while it is small; beyond that a frequent key is all on
+    the other side, whose rows adaptive execution splits.
     """
     spark = edges.sparkSession
     cur = save(edges.where("u <> v").selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct())
@@ -109,8 +123,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not cur.isEmpty():
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = save(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS node", "least(u, m) AS parent"))
+        nodes = parent.count()
         while True:
-            up = parent.selectExpr("node AS parent", "parent AS up")
+            up = small_side(parent.selectExpr("node AS parent", "parent AS up"), nodes)
             jumped = save(parent.join(up, "parent").selectExpr("node", "up AS parent", "up <> parent AS moved"))
             parent = jumped.select("node", "parent")
             if jumped.where("moved").isEmpty():
@@ -119,7 +134,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pu = parent.selectExpr("node AS u", "parent AS pu")
         pv = parent.selectExpr("node AS v", "parent AS pv")
         cur = save(
-            cur.join(pu, "u").join(pv, "v").where("pu <> pv")
+            cur.join(small_side(pu, nodes), "u").join(small_side(pv, nodes), "v").where("pu <> pv")
             .selectExpr("least(pu, pv) AS u", "greatest(pu, pv) AS v").distinct()
         )
     if not maps:
