@@ -7,6 +7,11 @@ and each is verified.  A variant that more than ``GROUP`` distinct fingerprints
 never compared as one group: the same cut is applied to the segment not yet used (32, then
 16 bits), and after the third cut a variant leaves 11 free bits, so 2,048 fingerprints at
 most.  No bucket is dropped or capped.
+
+Null and empty texts have fingerprint 0.  Very long texts are read whole, their words in
+lists of bounded length.  Equal texts are one fingerprint, compared once; repeated rows give
+one row each; of several smallest ids the smallest is the component.  An empty table gives
+no rows.  Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,13 +22,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, save, slices
+from .common import connected_components, save, slices, small_side, unused
 
 GROUP = 2048
 BITS = 3
+#: Variants that one task makes.
+MADE = 500_000
 CHUNK = 1 << 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -146,14 +153,18 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (u, v) whose transitive closure is that of all pairs of ``fp`` within three bits.
 
     ``distinct`` holds distinct longs ``fp``.  Each variant of more than one fingerprint is
-    compared as a whole while it has at most ``group`` members, or else is cut again.
+    compared as a whole while it has at most ``group`` members, or else is cut again.  Only
+    the variants' keys are shuffled, to be counted; their fingerprints are shuffled if the
+    keys that occur again are too many to broadcast.  Fingerprints are dealt to as many tasks
+    as their variants need.
     """
     found: list[DataFrame] = []
-    level = distinct.selectExpr("fp", "0L AS key", "fp AS rest")
+    level = save(distinct.selectExpr("fp", "0L AS key", "fp AS rest"))
     for width in (32, 16, 8):
-        every = _variants(level, width)
-        shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = save(every.join(shared, "key"))
+        tasks = -(-level.count() * 2 * width // MADE)
+        every = _variants(level.repartition(max(1, tasks), "fp"), width)
+        shared = save(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        met = save(every.join(small_side(shared), "key"))
         small = met if width == 8 else met.where(F.col("n") <= group)
         found.append(_compare(small.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")))
         level = met.where(F.col("n") > group).select("fp", "key", "rest")
@@ -176,17 +187,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = fp.groupBy("fp").agg(F.min("id").alias("first"))
     comp = connected_components(links(nodes.select("fp"), group)).withColumnRenamed("node", "fp")
     placed = save(nodes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
-    least = placed.groupBy("comp").agg(F.min("first").alias("component"))
-    return fp.join(placed.join(least, "comp").select("fp", "component"), "fp", "left").select("id", "fp", "component")
+    least = save(placed.groupBy("comp").agg(F.min("first").alias("component")))
+    known = placed.join(small_side(least), "comp").select("fp", "component")
+    return fp.join(known, "fp", "left").select("id", "fp", "component")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is that of their group; all columns stay.
 
-    Of repeated rows with that id one stays.  Rows with a null id cannot be told apart and
-    all stay.
+    Of repeated rows with that id one stays, the one of the least text.  Rows with a null id
+    cannot be told apart and all stay.  Texts are shuffled only if the ids to drop are too
+    many to broadcast.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    keep = near_duplicates(named, id_col, text_col).where("id = component").select("id")
-    kept = named.join(keep, named[id_col] == keep["id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    ids = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = save(ids.where("n > 1 OR NOT stays"))
+    key, place = unused(docs.columns, "_key"), unused(docs.columns, "_place")
+    few = odd.count()
+    plain = docs.join(small_side(odd.select(F.col("id").alias(key)), few), docs[id_col] == F.col(key), "left_anti")
+    again = odd.where("stays").select(F.col("id").alias(key))
+    if again.isEmpty():
+        return plain
+    twice = docs.join(small_side(again, few), docs[id_col] == F.col(key), "left_semi")
+    first = Window.partitionBy(docs[id_col]).orderBy(docs[text_col], F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns]))))
+    return plain.union(twice.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place))
