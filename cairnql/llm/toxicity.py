@@ -6,10 +6,18 @@ of their own, as languages tell words apart by them.  Lexicon entries are
 whole words or beginnings of longer words, with log-odds learned from labelled documents; phrases
 in which an entry is harmless are exceptions.  The weights found are normalised by the
 length of the text and turned into a probability.
+
+Null and empty texts have no hits and get the score of none.  Very long texts are folded and
+matched whole, in time in proportion to their length; words of more than ``LONGEST`` letters
+are matched by their beginnings only if a shorter word taught those.  Repeated rows get a
+score each and teach as one; of rows with one id the least text teaches.  Ties (entries of
+equal evidence, rows of equal hash) are settled by the entry or id itself, so reruns agree
+however the rows are dealt out.  An empty table gives an empty result and an empty lexicon.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -26,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import save, slices
 
-#: Bounds of the learning sample (documents of each label on average) and of the lexicon.
-DOCUMENTS, ENTRIES, PHRASES = 4000, 4000, 2000
+#: Bound of the learning sample: documents of each label.  It bounds the lexicon too, as entries must recur in them.
+DOCUMENTS = 4000
 STEMS = (4, 5, 6, 7, 8)
 #: Least log-odds of an entry.
 ODDS = 1.0
@@ -116,16 +124,20 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
     if not len(automaton):
         return []
     best: dict[int, tuple[int, float]] = {}
-    spared: list[tuple[int, int]] = []
+    spared: dict[int, int] = {}  # end of the longest phrase from each start
     for end, (size, w) in automaton.iter(text):
         start = end - size + 1
         if w is None:
-            spared.append((start, end))
+            spared[start] = max(end, spared.get(start, -1))
         elif text[end] != " " and text[end + 1] == " ":
             continue  # a word that is the stem and no more
         elif start not in best or w > best[start][1]:
             best[start] = (end, w)
-    return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in spared)]
+    starts, reach, far = sorted(spared), [], -1
+    for a in starts:  # how far the phrases reach that begin there or before
+        far = max(far, spared[a])
+        reach.append(far)
+    return [(s, e, w) for s, (e, w) in best.items() if not (i := bisect.bisect_right(starts, s)) or reach[i - 1] < e]
 
 
 def measures(text: str | None, automaton) -> tuple[float, float]:
@@ -194,7 +206,8 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
     keyed = sample.mapInArrow(run, "text string, _y int, k0 long, k1 long, k2 long")
     for k in ("k0", "k1", "k2"):
-        keyed = keyed.dropDuplicates([k])
+        least = F.min(F.struct("k0", "k1", "k2", "_y", "text")).alias("r")  # whichever row comes first
+        keyed = keyed.groupBy(F.col(k).alias("_k")).agg(least).select("r.*")
     return keyed.select("text", "_y")
 
 
@@ -211,20 +224,22 @@ def _compact(entries: list[tuple[str, float, int]]) -> dict[str, float]:
 def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn a lexicon, its exceptions and calibration from labelled rows of ``is_train``.
 
-    A hash of the id takes about ``DOCUMENTS`` rows of each label.  An entry must be more
-    frequent in toxic documents than chance could make any of all candidates.  Null texts,
-    ids and labels are not used; ids labelled twice take the larger label.  Without labels
-    the lexicon is empty.
+    Of each label the ``DOCUMENTS`` documents with the least hashes of their ids are used.  An
+    entry must be more frequent in toxic documents than chance could make any of all
+    candidates.  Null texts, ids and labels are not used; ids labelled twice take the larger
+    label.  Without labels the lexicon is empty.
     """
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     rows = docs.where(is_train & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    n = {r[0]: r[1] for r in rows.select("_id").join(y.where("_y IN (0, 1)"), "_id").groupBy("_y").count().collect()}
+    # labels of documents that are there, one row an id; only ids are shuffled
+    labelled = save(y.where("_y IN (0, 1)").join(rows.select("_id").distinct(), "_id").withColumn("h", F.xxhash64("_id")))
+    n = {r[0]: r[1] for r in labelled.groupBy("_y").count().collect()}
     if len(n) < 2:
         return Lexicon({})
-    share = F.when(F.col("_y") == 1, F.lit(min(1.0, DOCUMENTS / n[1]))).otherwise(F.lit(min(1.0, DOCUMENTS / n[0])))
-    at = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = y.where("_y IN (0, 1)").where(at < share)
-    sample = save(_one_of_copies(rows.join(F.broadcast(chosen), "_id").select("text", "_y")))  # chosen: twice DOCUMENTS rows of two numbers
+    few = [labelled.where(F.col("_y") == label).orderBy("h", "_id").limit(DOCUMENTS) for label in (0, 1)]
+    chosen = few[0].union(few[1]).select("_id", "_y")  # 2 * DOCUMENTS rows of two numbers at most, whatever the tables
+    texts = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text"))
+    sample = save(_one_of_copies(texts.select("text", "_y")))
     all_n, n = n, {r[0]: r[1] for r in sample.groupBy("_y").count().collect()}
     if len(n) < 2:
         return Lexicon({})
@@ -235,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str =
     odds = F.log((F.col("a") + 0.5) / (na + 1)) - F.log((F.col("b") + 0.5) / (nb + 1))
     many = counted.where("a + b >= 3").count()
     bar = 2 * math.log(max(2, many))
-    top = stats.where((odds > ODDS) & (F.col("g") > bar)).select("f", odds.alias("w"), "a").orderBy(F.col("g").desc(), "f").limit(ENTRIES)
+    top = stats.where((odds > ODDS) & (F.col("g") > bar)).select("f", odds.alias("w"), "a")
     lexicon = Lexicon(_compact([tuple(r) for r in top.collect()]))
 
     def around(text: str) -> set[str]:
@@ -251,8 +266,8 @@ def learn(docs: DataFrame, labels: DataFrame, is_train: Column, *, id_col: str =
 
     matcher = _Matcher(lexicon)
     ph = _counted(sample, around).where("b >= 3").withColumn("g", _evidence(F.col("a"), F.col("b"), na, nb))
-    ph = ph.where((F.col("b") / nb > 2 * F.col("a") / na) & (F.col("g") > bar)).orderBy(F.col("g").desc(), "f").limit(PHRASES)
-    lexicon.exceptions = [r["f"] for r in ph.collect()]
+    ph = ph.where((F.col("b") / nb > 2 * F.col("a") / na) & (F.col("g") > bar))
+    lexicon.exceptions = sorted(r["f"] for r in ph.select("f").collect())
     matcher = _Matcher(lexicon)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,15 @@
 """Lexicon matching, and accuracy on labels that were not learned from."""
 
+import math
 import os
+import time
+import unicodedata
 from pathlib import Path
 
 import pytest
 from helpers import documents, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairnql.llm import queries, toxicity
@@ -69,6 +74,87 @@ def test_learning_ignores_copies_and_finds_disguises(spark):
     assert all(got[3000 + i] > 0.5 for i in range(5)) and got[4000] == got[4001] < 0.5
 
 
+def slow_fold(text):
+    """Character by character, then word by word."""
+    out = ""
+    text = unicodedata.normalize("NFC", (text or "").lower())
+    inside = lambda c: c.isalnum()
+    for i, c in enumerate(text):
+        if c in "@$!" and 0 < i < len(text) - 1 and inside(text[i - 1]) and inside(text[i + 1]):
+            c = {"@": "a", "$": "s", "!": "i"}[c]
+        got = toxicity.TABLE.get(ord(c), c)
+        out += got or ""
+    words, more = [], []
+    for w in out.split():
+        if w.isdigit() or not set(w) & set("0134578"):
+            words.append(w)
+            continue
+        one, two = ("".join(dict(zip("0134578", to)).get(c, c) for c in w) for to in ("oieastb", "oleastb"))
+        words.append(one)
+        more += [two] * (two != one)
+    return " " + " ".join([*words, *more]) + " " if words else "  "
+
+
+def slow_score(text, lx):
+    """Every entry looked for at every place."""
+    folded = slow_fold(text)
+    at = lambda x: [i for i in range(len(folded)) if folded.startswith(x, i)]
+    best = {}
+    for entry, w in lx.weights.items():
+        for i in at(entry):
+            whole = entry.endswith(" ")
+            if whole or folded[i + len(entry)] != " ":
+                if i not in best or w > best[i][1]:
+                    best[i] = (i + len(entry), w)
+    spared = [(i, i + len(p)) for p in lx.exceptions if p not in lx.weights for i in at(p)]
+    found = sum(w for i, (end, w) in best.items() if not any(a <= i and end <= b for a, b in spared))
+    x = math.log1p(found), math.log1p(100 * found / max(1, len(folded.split())))
+    z = lx.calibration[0] + lx.calibration[1] * x[0] + lx.calibration[2] * x[1]
+    return 1 / (1 + math.exp(-z))
+
+
+TOKENS = ["vile", "v1le", "vıle", "VILE", "viler", "grub", "grubby", "grubs5", "weather", "man", "a", "101", "в1le", "ｖｉｌｅ", "b@d", "bad!", "re\u0301el", ",", "lo0l", "x4y5"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(TOKENS), max_size=25), st.sampled_from([" ", "  ", "\n", ", "]))
+def test_score_against_a_plain_search(words, gap):
+    lx = lexicon(vile=2.0, vile_=1.2, grub_=1.5, bad=0.7)
+    lx.weights[" réel "] = 0.5
+    lx.exceptions = [" vile weather ", " a vile man ", " man vile man ", " bad "]
+    text = gap.join(words)
+    assert fold(text) == slow_fold(text)
+    a = lx.automaton()
+    assert probability(measures(text, a), lx.calibration) == pytest.approx(slow_score(text, lx))
+
+
+def test_query_against_a_plain_search(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    lx = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), ~held)
+    got = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        if len(r["text"] or "") < 3000:
+            assert got[r["doc_id"]] == pytest.approx(slow_score(r["text"], lx))
+
+
+def test_learning_does_not_depend_on_how_rows_lie(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one, two = (toxicity.learn(docs.repartition(k), labels.repartition(9 - k), F.lit(True)) for k in (1, 7))
+    assert one.weights and one == two
+
+
+def test_many_exceptions_take_time_in_proportion():
+    lx = lexicon(vile=2.0)
+    lx.exceptions = [fold("vile weather")]
+    a = lx.automaton()
+    start = time.process_time()
+    assert hits(fold("vile weather " * 100_000), a) == []
+    assert time.process_time() - start < 10
+
+
 def test_nothing_to_learn_from(spark):
     d = documents(spark, [(1, "text", None, None)])
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
