@@ -1,8 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained here in numpy by backpropagation through time on a bounded sample of
-segments.  It reads whole texts in segments of fixed length, labels every byte position and
-averages the positions' probabilities over the document.
+segments.  It reads whole texts, labels every byte position and averages the positions'
+probabilities over the document.  Texts are read in stretches side by side; each direction
+begins ``CONTEXT`` bytes outside of its stretch, so that labels near a border know what is
+beyond it, and bytes that a stretch lacks at the text's end are read as zeros.
+
+Null texts and texts without a letter are ``und`` with score 0.  Very long texts are read to
+their end, in memory of a fixed number of stretches.  Repeated rows get a prediction each,
+and count as one when the network learns.  A tie goes to the language that comes first in
+code point order.  An empty table gives an empty result; without labelled rows everything is
+``und``.  All columns pass through but those named ``lang_pred`` and ``lang_score``.
 """
 
 from __future__ import annotations
@@ -17,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-LENGTH = 64  # bytes of a segment
+LENGTH = 64  # bytes of a segment to learn from
+STRETCH, CONTEXT = 128, 32  # bytes labelled at a time, and read beyond either end of them
 HIDDEN = 8
-#: Bounds of the training sample: languages (the most frequent), documents of each on average, segments of a document.
-LANGUAGES, DOCUMENTS, SEGMENTS = 64, 400, 4
+#: Bounds of the training sample: documents of each language on average, segments of a document.  Every language is learned.
+DOCUMENTS, SEGMENTS = 400, 4
 STEPS, BATCH, RATE = 260, 192, 0.02
-AT_ONCE = 4096  # segments read at a time
+AT_ONCE, CELLS = 4096, 4 << 20  # stretches read at a time, and probabilities held for them
 UNKNOWN = "und"
 
 
@@ -133,12 +142,18 @@ class Network:
 
 
 def train(
-    segments: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 1
+    segments: list[bytes], labels: list[str], *, hidden: int | None = None, steps: int | None = None, batch: int = BATCH, rate: float = RATE, seed: int = 1
 ) -> Network | None:
-    """Fit a network to labelled segments with Adam; languages are drawn evenly.  None without segments."""
+    """Fit a network to labelled segments with Adam; languages are drawn evenly.  None without segments.
+
+    More than ``HIDDEN`` / 2 languages get two states each, up to eight times ``HIDDEN``, and
+    more than eight a step for each of them, up to eight times ``STEPS``.
+    """
     languages = sorted(set(labels))
     if not languages:
         return None
+    hidden = hidden or max(HIDDEN, min(8 * HIDDEN, 2 * len(languages)))
+    steps = steps or STEPS * max(1, min(8, len(languages) // 8))
     net = Network.fresh(languages, hidden, seed)
     if len(languages) == 1:
         return net
@@ -160,34 +175,42 @@ def train(
     return net
 
 
-def grid(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grid(segments: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Byte ids (time, segment) padded with zeros, and which of them are real."""
     sizes = np.array([len(s) for s in segments])
-    ids = np.frombuffer(b"".join(s.ljust(LENGTH, b"\0") for s in segments), np.uint8).reshape(-1, LENGTH).T
-    return np.ascontiguousarray(ids), np.arange(LENGTH)[:, None] < sizes[None, :]
+    ids = np.frombuffer(b"".join(s.ljust(length, b"\0") for s in segments), np.uint8).reshape(-1, length).T
+    return np.ascontiguousarray(ids), np.arange(length)[:, None] < sizes[None, :]
 
 
 def read(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities (text, language) over all positions of each text, in double precision."""
     total = np.zeros((len(texts), len(net.languages)))
+    span = STRETCH + 2 * CONTEXT
+    at_once = max(16, min(AT_ONCE, CELLS // (span * len(net.languages))))
     parts: list[bytes] = []
     owner: list[int] = []
+    own: list[tuple[int, int]] = []  # the part of a stretch that it labels
+    time = np.arange(span)[:, None]
 
     def flush() -> None:
-        ids, mask = grid(parts)
+        ids, _ = grid(parts, span)
         p = net.probabilities(ids)
-        p *= mask
+        first, last = np.array(own).T
+        p *= (time >= first) & (time < last)
         of = np.array(owner)
         for k, sums in enumerate(p.sum(axis=1, dtype=np.float64)):
             total[:, k] += np.bincount(of, sums, len(texts))
         parts.clear()
         owner.clear()
+        own.clear()
 
     for n, text in enumerate(texts):
-        for o in range(0, len(text), LENGTH):
-            parts.append(text[o : o + LENGTH])
+        for o in range(0, len(text), STRETCH):
+            before = min(o, CONTEXT)
+            parts.append(text[o - before : o + STRETCH + CONTEXT])
             owner.append(n)
-            if len(parts) == AT_ONCE:
+            own.append((before, before + min(STRETCH, len(text) - o)))
+            if len(parts) == at_once:
                 flush()
     if parts:
         flush()
@@ -195,18 +218,17 @@ def read(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
-    """Train on a bounded sample of the rows of ``is_train``: see LANGUAGES, DOCUMENTS and SEGMENTS.
+    """Train on a bounded sample of the rows of ``is_train``: see DOCUMENTS and SEGMENTS.
 
-    A hash of the id and text chooses the documents, so reruns agree.  Rows without a text or
-    a language are never used.  Only segments of ``LENGTH`` bytes reach the driver.
+    A hash of the id and text chooses the documents, repeated rows as one, so reruns agree.
+    Rows without a text or a language are never used.  Only segments of ``LENGTH`` bytes
+    reach the driver, and a number for each language.
     """
-    rows = docs.where(is_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(LANGUAGES).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCUMENTS / n))])
-    at = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.where(at < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(is_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h")
+    )
+    share = rows.groupBy("lang").agg((F.lit(float(DOCUMENTS << 40)) / F.count(F.lit(1))).alias("upto"))  # a row for each language
+    chosen = rows.join(share, "lang").where("h < upto").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
