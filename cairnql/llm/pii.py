@@ -91,19 +91,25 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
         yield m[0].lower(), m.start(), m.end()
 
 
-def neighbours(text: str, spans: list[Span], window: int = WINDOW) -> Iterator[tuple[int, int, set[str]]]:
-    """(entity, hash of the window, terms) for each base span: the words on either side that no span covers."""
-    ends: list[tuple[int, int]] = []  # covered stretches, joined where they overlap
-    for a, b in sorted((a, b) for _, a, b in spans):
-        if ends and a <= ends[-1][1]:
-            ends[-1] = (ends[-1][0], max(ends[-1][1], b))
-        else:
-            ends.append((a, b))
+class Cover:
+    """The stretches of a text that spans cover, joined where they meet; whether one meets a place is found by bisection."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.ends: list[tuple[int, int]] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1][1]:
+                self.ends[-1] = (self.ends[-1][0], max(self.ends[-1][1], b))
+            else:
+                self.ends.append((a, b))
+
+    def bare(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.ends, (b,)) - 1
+        return i < 0 or self.ends[i][1] <= a
 
-    def bare(a: int, b: int) -> bool:
-        i = bisect.bisect_left(ends, (b,)) - 1
-        return i < 0 or ends[i][1] <= a
 
+def neighbours(text: str, spans: list[Span], window: int = WINDOW) -> Iterator[tuple[int, int, set[str]]]:
+    """(entity, hash of the window, terms) for each base span: the words on either side that no span covers."""
+    bare = Cover(spans).bare
     every = [m.span() for m in WORD.finditer(text)]
     words = [w for w in every if bare(*w)]
     starts = [a for a, _ in words]
@@ -227,9 +233,8 @@ def _mark(text: str | None, found: dict[str, bool]) -> tuple[list[Span], str | N
     base = base_spans(text)
     spans = list(base)
     if found:
-        for t, a, b in terms(text):
-            if t in found and not any(x < b and a < y for _, x, y in base):
-                spans.append(("term", a, b))
+        bare = Cover(base).bare
+        spans += [("term", a, b) for t, a, b in terms(text) if t in found and bare(a, b)]
     parts: list[str] = []
     last, end = 0, -1
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
@@ -264,14 +269,19 @@ def sanitise(
         rows = docs
     else:  # too many terms to broadcast: each text brings the flagged ones of its own
         def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, "pii"):
+                keys, ts = [], []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ts = sorted({t for t, _, _ in terms(text or "")})
-                    if ts:
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(ts)), pa.array(ts)], ["_key", "term"])
-
-        key = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-        pairs = docs.select(key.alias("key"), text_col).mapInArrow(own, "key string, term string").distinct()
+                    mine = {t for t, _, _ in terms(text)}
+                    keys += [key] * len(mine)
+                    ts += mine
+                if ts:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ts, pa.string())], ["_key", "term"])
+
+        # equal texts are one key; AQE may split their rows, as each key has one row on the other side
+        key = F.md5(F.encode(F.col(text_col), "UTF-8"))
+        texts = docs.where(F.length(text_col) > 0).select(key.alias("key"), F.col(text_col).alias("text"))
+        pairs = texts.groupBy("key").agg(F.any_value("text").alias("text")).mapInArrow(own, "key string, term string")
         flags = unused(names, "flags")
         mine = pairs.join(flagged, "term").groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("goes"))).alias(flags))
         held = None

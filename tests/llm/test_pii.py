@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from helpers import documents, prose
@@ -124,6 +125,51 @@ def test_neighbours_are_words_however_long():
     assert all({"marvin", "trillium"} <= ts for _, _, ts in pii.neighbours(text, pii.base_spans(text)))
 
 
+def slow_neighbours(text, spans, window):
+    """Word by word from each span outwards."""
+    covered = [any(a <= i < b for _, a, b in spans) for i in range(len(text))]
+    for kind, a, b in spans:
+        near = set()
+        for start, step in ((a - 1, -1), (b, 1)):
+            i, words = start, 0
+            while 0 <= i < len(text) and words < window:
+                if text[i].isspace():
+                    i += step
+                    continue
+                j = i
+                while 0 <= j < len(text) and not text[j].isspace():
+                    j += step
+                x, y = (j + 1, i + 1) if step < 0 else (i, j)
+                if not any(covered[x:y]):
+                    words += 1
+                    near |= {t for t, _, _ in pii.terms(text[x:y])}
+                i = j
+        yield pii.entity(text, (kind, a, b)), near
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", " ", "\n", "the sea", "Marvin", "x@y.org", "a@b.cd", "10.0.0.1", "+44 20 7946 0018", "(", ")", ",", "ab1", "zz" * 40]), max_size=40).map("".join))
+def test_neighbours_against_a_walk(text):
+    spans = pii.base_spans(text)
+    got = [(c, ts) for c, _, ts in pii.neighbours(text, spans, 3)]
+    assert got == list(slow_neighbours(text, spans, 3))
+
+
+def test_long_texts_take_time_in_proportion():
+    def took(n):
+        words = [f"word{i % 997}" for i in range(12 * n)]
+        words[::12] = [f"user{i}@mail{i % 77}.example" for i in range(n)]
+        text = " ".join(words)
+        start = time.process_time()
+        spans = pii.base_spans(text)
+        assert len(spans) == n == sum(1 for _ in pii.neighbours(text, spans))
+        marked, clean = pii._mark(text, {f"word{i}": False for i in range(0, 997, 2)})
+        assert len(marked) > 5 * n and "@" not in clean
+        return time.process_time() - start
+
+    assert took(20_000) < 20 * max(0.2, took(2_000))
+
+
 @pytest.mark.parametrize("held", [True, False])
 def test_sanitised_texts(spark, monkeypatch, held):
     if not held:
