@@ -34,6 +34,7 @@ def session(app: str = "cairnql", **conf: str) -> SparkSession:
 
 
 _shipped: set[str] = set()
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,8 +42,11 @@ def ship(spark: SparkSession) -> None:
 
     Python workers import the functions they run from it, so it need not be installed there.
     The archive lies in the shared folder of the session, or where none is named (tests on
-    one machine) in a temporary one.
+    one machine) in a temporary one.  Python workers get ``ARROW_ROWS`` rows at a time,
+    unless the session names a number of its own, as texts may be long.
     """
+    if spark.conf.get(ARROW, None) in (None, "10000"):
+        spark.conf.set(ARROW, str(ARROW_ROWS))
     context = spark.sparkContext
     app = context.applicationId
     if app in _shipped:

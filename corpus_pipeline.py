@@ -13,15 +13,22 @@ from cairnql.llm import common, langid, mixing, packing, pii, simhash
 from cairnql.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if some language has this mean probability.
-CONFIDENCE = 0.35
+#: A document stays if some language has this mean probability, or where many are known this many times an even share.
+CONFIDENCE, TIMES_EVEN = 0.35, 1.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those that no language fits; fills in missing languages."""
+    """Rejects texts without a letter and those that no language fits; fills in missing languages.
+
+    Where no document has a language there is nothing to learn from, and all with a letter stay.
+    """
     held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
-    named = langid.predict(docs, langid.fit(docs, ~held_out))
-    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= CONFIDENCE))
+    net = langid.fit(docs, ~held_out)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    named = langid.predict(docs, net)
+    sure = min(CONFIDENCE, TIMES_EVEN / len(net.languages))
+    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= sure))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
