@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 from .common import positions, save, slices, worker_cache
 
 CAPACITY = 2048
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
-#: Bins closed by the whole search, candidates tried for one bin, and steps to enumerate them.
-NODES, BRANCH, STEPS = 40_000, 6, 3_000
+#: Entries of a worker's new and of its old cache, and the longest word they keep in bytes: about 50 MB each with words of usual length.
+CACHED_WORDS, CACHED_BYTES = 250_000, 48
+#: Words beyond this many bytes are normalised, cut and merged stretch by stretch.
+LONG_WORD, STRETCH = 1 << 16, 1 << 13
+#: Kinds of bins closed by the whole search, and without a better packing; candidates tried for one bin, and steps to enumerate them;
+#: bins closed between best-fit solutions of what is left.
+NODES, PATIENCE, BRANCH, STEPS, REFIT = 40_000, 10_000, 6, 3_000, 256
 #: Latin letters without a decomposition to come, then ASCII punctuation other than the apostrophe: always two pre-tokens.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
+CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies."""
@@ -44,8 +50,10 @@ class WordIds(dict):
     The vocabulary drops white space and never merges across it, so a text's ids are those
     of its words in turn.  A word of plain letters and closing punctuation goes to the
     vocabulary's merges in these two parts, past the normaliser and the pattern, which would
-    only lower its case and part it there; any other word is encoded in full.  The caches
-    are emptied when they hold ``CACHED_WORDS`` entries; longer words are never kept.
+    only lower its case and part it there; any other word is encoded in full, and one of
+    more than ``LONG_WORD`` bytes stretch by stretch (``_long``).  When the cache is full it
+    becomes the old one, from which words still in use move to the new one; words beyond
+    ``CACHED_BYTES`` are never kept.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -54,36 +62,125 @@ class WordIds(dict):
         super().__init__()
         tokenizer = Tokenizer.from_file(tokenizer_path)
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
+        self.normalise, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.special = special
+        self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.old: dict[bytes, bytes] = {}
         self.raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            raw = self.raw
-            ids = b"".join([raw[t.id] for t in self.merge(part.encode().decode("latin-1").translate(LETTERS))])
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            self.parts[part] = ids
-        return ids
+        """Ids of a pre-token."""
+        raw = self.raw
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(LETTERS)
+        return b"".join([raw[t.id] for t in self.merge(letters)])
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if len(word) <= CACHED_BYTES and (m := SIMPLE.fullmatch(text)):
-            letters, closing = m.groups()
-            ids = self.part(letters.lower()) + (self.part(closing) if closing else b"")
-        else:
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha() and word.islower() and len(word) <= CACHED_BYTES:  # of bytes: ASCII letters only
+                raw = self.raw
+                ids = b"".join([raw[t.id] for t in self.merge(word.decode())])
+            else:
+                ids = self._parted(word)
             if len(word) > CACHED_BYTES:
                 return ids
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def _parted(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if len(word) <= CACHED_BYTES and (m := SIMPLE.fullmatch(text)):
+            letters, closing = m.groups()
+            low = letters.lower()
+            first = low.encode()
+            return (self.part(low) if first == word else self[first]) + (self.part(closing) if closing else b"")
+        if len(word) <= LONG_WORD:
+            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = bytearray()
+        for ids in self._long(text):
+            out += ids
+        return bytes(out)
+
     def text(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
+    # ---- long words
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        """Ids of a long word, in memory of a few bytes a character.
+
+        Special strings stand apart; the rest is normalised in stretches that begin with a
+        letter or an ASCII character, which never combine with what is before them; the
+        pattern's pre-tokens are told by the class that it gives each character.
+        """
+        for i, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
+            if i % 2:
+                yield self.raw[self.special[part]]
+                continue
+            stretches, at = [], 0
+            while at < len(part):
+                end = min(at + STRETCH, len(part))
+                while end < len(part) and not (part[end].isascii() or (part[end].isalpha() and not "\u1100" <= part[end] <= "\u11ff")):
+                    end += 1
+                stretches.append(self.normalise(part[at:end]))
+                at = end
+            yield from self._pretokens("".join(stretches))
+
+    def _pretokens(self, text: str) -> Iterator[bytes]:
+        if not text:
+            return
+        kind = np.empty(len(text), np.uint8)
+        for o in range(0, len(text), 1 << 18):
+            known, which = np.unique(np.frombuffer(text[o : o + (1 << 18)].encode("utf-32-le", "replace"), "<u4"), return_inverse=True)
+            kind[o : o + (1 << 18)] = np.array([self._kind(chr(c)) for c in known], np.uint8)[which]
+        new = np.empty(len(kind), bool)
+        new[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new |= kind == 2  # each numeral is a pre-token of its own
+        starts = np.append(np.flatnonzero(new).astype(np.uint32), np.uint32(len(text)))
+        done = 0
+        for n in range(len(starts) - 1):
+            at, end = max(done, int(starts[n])), int(starts[n + 1])
+            if at >= end or kind[at] == 3:
+                continue
+            if end == at + 1 and text[at] == "'" and (m := CONTRACTION.match(text, at)):
+                end = m.end()
+            done = end
+            yield self.part(text[at:end]) if end - at <= CACHED_BYTES else b"".join(self._run(text[at:end]))
+
+    def _kind(self, c: str) -> int:
+        """How the pattern takes a character: 0 with letters, 1 with signs, 2 alone, 3 not at all."""
+        if len(self.cut("a" + c)) == 1 and len(self.cut(c)):
+            return 0
+        return 3 if not self.cut(c) else 1 if len(self.cut("!" + c)) == 1 else 2
+
+    def _run(self, run: str) -> Iterator[bytes]:
+        """Ids of one long pre-token, merged stretch by stretch.
+
+        A sequence of tokens is what the merges make of their text if that holds for each two
+        that meet; so a stretch may follow another wherever the last token of the one and the
+        first of the other stay apart when merged with what comes after.
+        """
+        s = run.encode().decode("latin-1").translate(LETTERS)
+        at, width = 0, STRETCH
+        while at + width < len(s):
+            tokens = self.merge(s[at : at + width])
+            ends = np.cumsum([len(t.value) for t in tokens])
+            for k in range(len(tokens) * 3 // 4, 1, -1):
+                q = at + int(ends[k - 1])
+                there = self.merge(s[at + int(ends[k - 2]) : q + 256])
+                if there[0].id == tokens[k - 1].id and len(there) > 2 and there[1].id == self.merge(s[q : q + width])[0].id:
+                    yield b"".join([self.raw[t.id] for t in tokens[:k]])
+                    at, width = q, STRETCH
+                    break
+            else:
+                width *= 2
+        yield b"".join([self.raw[t.id] for t in self.merge(s[at:])])
+
 
 def word_ids(tokenizer_path: str) -> WordIds:
     """The worker's cache for a vocabulary file."""
@@ -193,68 +290,85 @@ def fillings(have: list[int], counts: dict[int, int], room: int) -> list[Filling
 
     ``have`` lists the lengths in stock, ascending.  A filling is dominated if a length in
     stock could replace one of its pieces, or two of them together, and still fit: then some
-    best packing does without it.  A single exact piece dominates all others.
+    best packing does without it.  A single exact piece dominates all others.  One step adds
+    all pieces of one length, from as many as fit down to one, so the depth is the number of
+    different lengths in a filling; the list ends at the first filling without waste or after
+    ``STEPS`` steps.
     """
     if not have or have[0] > room:
         return [()]
     if counts.get(room):
         return [(room,)]
     found: dict[Filling, int] = {}
-    steps, worst = STEPS, -1
+    worst = -1
 
     def dominated(f: Filling, waste: int) -> bool:
         if not waste:
             return False
-        parts = set(f) | {a + b for i, a in enumerate(f) for b in f[i + 1 :]}
+        used = {x: f.count(x) for x in set(f)}
+        parts = {*used, *(a + b for a in used for b in used if a < b), *(2 * a for a, n in used.items() if n > 1)}
         for x in parts:
             i = bisect.bisect_right(have, x)
             while i < len(have) and have[i] <= x + waste:
-                if counts[have[i]] > f.count(have[i]):
+                if counts[have[i]] > used.get(have[i], 0):
                     return True
                 i += 1
         return False
 
-    def grow(f: Filling, left: int, top: int) -> bool:
-        nonlocal steps, worst
-        i = bisect.bisect_right(have, min(left, top)) - 1
-        fitted = False
-        while i >= 0 and steps > 0:
-            size = have[i]
-            i -= 1
-            if counts[size] <= f.count(size):
-                continue
-            steps -= 1
-            fitted = True
-            rest = left - size
-            if rest and rest <= size and counts.get(rest, 0) > f.count(rest) + (rest == size):
-                found[(*f, size, rest)] = 0
-                return True
-            if grow((*f, size), rest, size):
-                return True
-        if not fitted and f:
-            least = have[0] if counts[have[0]] > f.count(have[0]) else have[1] if len(have) > 1 else left + 1
-            if (least > left or not any(counts[h] > f.count(h) for h in have[: bisect.bisect_right(have, left)])) and (
-                len(found) < 4 * BRANCH or left < worst
-            ):
+    # each level: the length to try, the number of its pieces taken (0: none yet), the room and the filling before it
+    steps, left = STEPS, room
+    levels: list[list] = [[bisect.bisect_right(have, left) - 1, 0, left, ()]]
+    while levels and steps > 0:
+        level = levels[-1]
+        i, taken, before, held = level
+        if i < 0:
+            levels.pop()
+            continue
+        size = have[i]
+        taken = level[1] = taken - 1 if taken else min(counts[size], before // size)
+        if not taken:  # fewer than one: on to the next length
+            level[0] -= 1
+            continue
+        steps -= 1
+        left = before - taken * size
+        f = held + (size,) * taken
+        if left and left < size and counts.get(left):
+            found[(*f, left)] = 0
+            break
+        at = bisect.bisect_right(have, left if left < size else size - 1) - 1
+        if at >= 0:
+            levels.append([at, 0, left, f])
+        elif (left < size or taken == counts[size]) and (len(found) < 4 * BRANCH or left < worst):
+            if not any(counts[h] > f.count(h) for h in have[: bisect.bisect_right(have, left)]):
                 found[f] = left
                 worst = max(worst, left)
-            return left == 0
-        return False
-
-    grow((), room, room)
+                if not left:
+                    break
     ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0])))
     good = [f for f, waste in ranked if not dominated(f, waste)][:BRANCH]
-    return good or [f for f, _ in ranked[:1]] or [()]
+    return good or [f for f, _ in ranked[:1]] or [_greedy(have, counts, room)]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
+def _greedy(have: list[int], counts: dict[int, int], room: int) -> Filling:
+    """The filling that takes the longest pieces that fit."""
+    f: Filling = ()
+    for size in reversed(have):
+        n = min(counts[size], room // size)
+        f += (size,) * n
+        room -= n * size
+    return f
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, patience: int = PATIENCE) -> list[tuple[Filling, int]]:
     """Pack a histogram of lengths into few bins: (filling, number of bins) pairs.
 
     Branch and bound: around the largest piece left, each undominated filling is tried, least
     waste first, for as many bins at once as the stock allows.  A branch is cut when its waste
-    so far already needs as many bins as the incumbent, at first the best-fit decreasing
-    packing.  The search ends at the lower bound, or after closing ``nodes`` kinds of bins
-    with the best packing so far; the packing is always whole.
+    so far already needs as many bins as the incumbent.  Incumbents are best-fit decreasing
+    packings: of everything at first, later of what the bins closed so far leave, every
+    ``REFIT`` bins.  The search ends at the lower bound, or with the best packing so far
+    after closing ``nodes`` kinds of bins, or ``patience`` of them (beside one for
+    each length) without a better packing; the packing is always whole.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -285,8 +399,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
 
     path: list[tuple[Filling, int]] = []
     bins = waste = 0
-    stack = [options()]
-    while stack and best_bins > bound and nodes > 0:
+    last = nodes
+    stack = [options()] if best_bins > bound else []
+    while stack and best_bins > bound and nodes > 0 and last - nodes < patience + len(counts):
         if not stack[-1]:
             stack.pop()
             if path:
@@ -308,10 +423,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         waste += lost
         if not have:
             if bins < best_bins:
-                best, best_bins = list(path), bins
+                best, best_bins, last = list(path), bins, nodes
             stack.append([])
-        else:
-            stack.append(options())
+            continue
+        if nodes % REFIT == 0:
+            rest = best_fit_decreasing({s: stock[s] for s in have}, capacity)
+            if bins + sum(n for _, n in rest) < best_bins:
+                best, best_bins, last = path + rest, bins + sum(n for _, n in rest), nodes
+        stack.append(options())
     return best
 
 

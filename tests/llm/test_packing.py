@@ -1,8 +1,11 @@
 """Ids against the tokenizer, packings against exhaustive search."""
 
 import random
+import subprocess
+import sys
 import zlib
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +59,38 @@ def test_special_strings_and_pieces(spark, tokenizer):
             assert p["length"] == 2048 or k == len(ordered) - 1
 
 
+@pytest.mark.parametrize("letters", ["aab", "thequickbrownfox", "漢字かなカナ한국어éÀßς", "ab'stdrevlm!.,", "a1b2'c", "''!s", "áe\u0301\u0300x", "각\u1100\u1161\u11a8", "🙂👍🏽a", "İIıſ\u00a0\u3000x"])
+def test_long_words_encode_as_in_one_piece(tokenizer, letters, monkeypatch):
+    r = random.Random(letters)
+    words = packing.word_ids(BPE)
+    for stretch in (40, 300):
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        for n in (1, 90, 4000):
+            text = "".join(r.choice(letters) for _ in range(n)) + r.choice(["", "<|endoftext|>", "<|endoftext|>x"])
+            assert b"".join(words._long(text)) == ids_of(tokenizer, text)[:-1].tobytes()
+
+
+def test_a_word_of_megabytes_takes_little_memory():
+    run = "import resource, sys; from cairnql.llm.packing import WordIds; w = WordIds(sys.argv[1]); n = len(w.text(b'ab' * (4 << 20))); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)"
+    out = subprocess.run([sys.executable, "-c", run, BPE], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    n, mb = map(int, out.stdout.split())
+    assert n and mb < 300
+
+
+@pytest.mark.parametrize("counts", [{1: 999}, {1: 5000}, {2: 5000}, {1: 5000, 2: 100, 3: 50}, {1: 10**6}, {2: 10**6}, {3: 10**6, 5: 1, 2047: 9}])
+def test_many_short_pieces(counts):
+    assert check_packing(counts, 2048, packing.bin_completion(counts)) <= packing.lower_bound(counts, 2048) + 2
+
+
+@pytest.mark.parametrize("text", [None, "", "a"])
+def test_tables_of_only_short_texts(spark, text):
+    rows = packing.pack(packing.pieces(documents(spark, [(i, text, None, None) for i in range(1500)]), BPE)).collect()
+    length = 2 if text else 1
+    assert len(rows) == 1500 and {r["length"] for r in rows} == {length}
+    assert len({r["sequence_id"] for r in rows}) == -(-1500 * length // 2048)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 1500
+
+
 def check_packing(counts, capacity, fillings):
     used = {}
     for f, n in fillings:
