@@ -30,12 +30,64 @@ def replicated_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -
 def interval_join(left: DataFrame, right: DataFrame, key: Column, low: Column, high: Column, width: int) -> DataFrame:
     """Pairs with low <= key <= high, bucketed so that it is an equi-join and no cross product.
 
-    ``key`` belongs to the left, the numeric bounds to the right; an interval is written once
-    per bucket of ``width`` that it touches.
+    ``key`` belongs to the left, the numeric bounds to the right.  Buckets come in sizes of
+    ``width`` times a power of two; an interval is written once or twice, to buckets of the
+    first size that is not less than its length, however long it is, and a key once for each
+    size that occurs among the intervals.  Empty intervals and null bounds match nothing.
     """
-    a = left.withColumn("_bucket", F.floor(key / width))
-    b = right.withColumn("_bucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
-    return a.join(b, "_bucket").where((key >= low) & (key <= high)).drop("_bucket")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((high - low) / F.lit(width), F.lit(1.0))))).cast("int")
+    right = right.where(low <= high).withColumn("_level", level)
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
+    levels = sorted(r[0] for r in right.select("_level").distinct().collect())  # 1,100 at most: the exponents of a double
+    if not levels:
+        levels = [0]
+    a = left.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_bucket", F.floor(key / size))
+    b = right.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(low / size), F.floor(high / size)))))
+    return a.join(b, ["_level", "_bucket"]).where((key >= low) & (key <= high)).drop("_level", "_bucket")
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str], span: Column) -> DataFrame:
+    """Every row of the left with ``columns`` of the last row of the right, of equal ``keys``, whose ``at`` is not later.
+
+    ``span`` is a coarser column of both sides that rises with ``at`` (a day of its time).
+    Rows are ordered within a key's span only, so a frequent key is spread over its spans; a
+    row without a match in its own takes the last one of the spans before, of which there is
+    one row each.  Of right rows at one moment that of the greatest columns counts.
+    """
+    hit = F.struct(at, *columns)
+    r = right.where(F.col(at).isNotNull()).select(*keys, span.alias("_span"), F.col(at).alias("_at"), hit.alias("_hit"))
+    l = left.withColumn("_span", span).withColumn("_at", F.col(at)).withColumn("_row", F.struct(*left.columns))  # noqa: E741
+    both = l.select(*keys, "_span", "_at", "_row", F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"))
+    both = both.unionByName(r.withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType)))
+    so_far = Window.partitionBy(*keys, "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("_own", F.max("_hit").over(so_far)).where(F.col("_row").isNotNull())
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy(*keys, "_span").agg(F.max("_hit").alias("_last")).withColumn("_before", F.max("_last").over(earlier)).drop("_last")
+    right_of = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_span").alias("_s"), "_before")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_span").eqNullSafe(F.col("_s"))])
+    found = own.join(right_of, on, "left")
+    match = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.coalesce("_own", "_before"))
+    return found.select("_row.*", *[match.getField(c).alias(c) for c in columns])
+
+
+def placed(df: DataFrame, order: list[Column], out: str, rows: int = 500_000) -> DataFrame:
+    """Adds the 1-based place ``out`` of every row in an ascending order (nulls first), without ordering them in one task.
+
+    Rows are dealt to ranges of the order between rows that a hash picks, one for each
+    ``rows`` of the table; a place is the number of rows in the ranges before and the place
+    in its own.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumn("_o", F.struct(*[c.alias(n) for c, n in zip(order, names)]))
+    slices = min(200, df.count() // rows)
+    picked = keyed.where(F.pmod(F.xxhash64("_o"), F.lit(rows)) == 0).select("_o.*").distinct().collect() if slices else []
+    kinds = [f.dataType for f in keyed.schema["_o"].dataType]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(r, kinds, names)]) for r in picked])
+    sliced = keyed.withColumn("_slice", F.size(F.filter(bounds, lambda b: b <= F.col("_o"))) if picked else F.lit(0))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    starts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = sliced.withColumn("_k", F.row_number().over(Window.partitionBy("_slice").orderBy("_o")))
+    return own.join(F.broadcast(starts), "_slice").withColumn(out, (F.col("_start") + F.col("_k")).cast("long")).drop("_slice", "_k", "_start", "_o")
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from cairnql.operators import stats, views
 from cairnql.functions import sql as dialect
 from cairnql.operators.dml import MutableTable
+from cairnql.operators.relational import hash_partition
 from cairnql.plans.statements import execute, is_change
 from cairnql.sources import schema as ddl
-from cairnql.sources.store import Snapshots, VersionedTable, dump
+from cairnql.sources.store import Snapshots, dump
 
 
 @dataclass
@@ -33,7 +34,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, script: str = "", *, log: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
         self.tables: dict[str, MutableTable] = {}
-        self.views: dict[str, tuple[ddl.View, VersionedTable]] = {}
+        self.views: dict[str, tuple[ddl.View, Callable[[], DataFrame]]] = {}
         self.frames: dict[str, DataFrame] = {}
         self.procedures: dict[str, Procedure] = {}
         self.log = log
@@ -49,17 +50,27 @@ class Engine:
             self._add_view(v)
 
     def _add_view(self, view: ddl.View) -> None:
+        """Keep a view in the versions of its table; a state that is there already is used as it is."""
         source = self.tables[view.source]
-        state = views.build(view, source.read())
-        store = VersionedTable(self.spark, f"{self.path}/_views/{view.name}", state.schema)
-        store.overwrite(state)
-        self.views[view.name] = (view, store)
+        shape = views.build(view, source.store.read_files([])).schema
+        definition = repr(view)
 
-        def maintain(deleted: DataFrame | None, inserted: DataFrame | None) -> None:
+        def state(rows: DataFrame) -> dict:
+            return {"definition": definition, "files": source.store.write(rows)}
+
+        def read() -> DataFrame:
+            return source.store.read_files(source.store.note["views"][view.name]["files"], shape)
+
+        def next_state(deleted: DataFrame | None, inserted: DataFrame | None) -> dict:
             parts = [views.delta(view, rows, sign) for rows, sign in ((deleted, -1), (inserted, 1)) if rows is not None]
-            store.overwrite(views.merge(view, store.read(), *parts))
+            return state(views.merge(view, read(), *parts))
 
-        source.listeners.append(maintain)
+        note = source.store.note
+        if note.get("views", {}).get(view.name, {}).get("definition") != definition:
+            built = {view.name: state(views.build(view, source.read()))}
+            source.store.commit(source.store.manifest, note | {"views": note.get("views", {}) | built})
+        source.views[view.name] = next_state
+        self.views[view.name] = (view, read)
 
     def attach(self, **frames: DataFrame) -> Engine:
         """Make frames known to SQL under a name, read only."""
@@ -71,8 +82,8 @@ class Engine:
         if name in self.tables:
             return self.tables[name].read()
         if name in self.views:
-            view, store = self.views[name]
-            return views.result(view, store.read())
+            view, read = self.views[name]
+            return views.result(view, read())
         return self.frames[name]
 
     def query(self, text: str, *args: object, **named: object) -> DataFrame:
@@ -97,8 +108,16 @@ class Engine:
         p = self.procedures[name.lower()]
         return self.sql(p.body, *args) if isinstance(p.body, str) else p.body(self, *args)
 
-    def statistics(self, name: str) -> DataFrame:
-        return stats.table_statistics(self.relation(name), name)
+    def statistics(self, name: str, selector: str = "TABLE", *, key: str | None = None, partitions: int = 1) -> DataFrame:
+        """TABLE: rows and columns of a relation.  PARTITIONCOUNT: its rows, and how many of ``partitions`` routing partitions hold any."""
+        df = self.relation(name)
+        if selector.upper() == "TABLE":
+            return stats.table_statistics(df, name)
+        if selector.upper() != "PARTITIONCOUNT" or key is None:
+            raise ValueError(f"no statistics {selector}" if key else "PARTITIONCOUNT needs a key")
+        kind = "string" if df.schema[key].dataType.typeName() == "string" else "long"
+        dealt = stats.partition_counts(df, hash_partition(kind, F.col(key), partitions))
+        return dealt.agg(F.sum("tuples").alias("tuples"), F.count(F.lit(1)).alias("partitions")).select(F.lit(name).alias("table"), "tuples", "partitions")
 
     def catalog(self) -> DataFrame:
         """(relation, kind, column, type, nullable) of all relations."""
@@ -124,12 +143,9 @@ class Engine:
         Snapshots(self.spark, path or f"{self.path}/_snapshots").save(name, {n: t.read() for n, t in self.tables.items()})
 
     def restore(self, name: str, path: str | None = None) -> None:
+        """Bring back the tables of a snapshot; a logged change of each, which its views follow."""
         for n, df in Snapshots(self.spark, path or f"{self.path}/_snapshots").restore(name).items():
-            t = self.tables[n]
-            old = t.read()
-            t.store.overwrite(df)
-            for listener in t.listeners:
-                listener(old, df)
+            self.tables[n].replace(df)
 
     def dump(self, path: str) -> None:
         dump({n: t.read() for n, t in self.tables.items()}, path)

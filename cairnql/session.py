@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,6 +34,17 @@ def session(app: str = "cairnql", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """``spark.checkpoint.dir`` of the session, which driver and executors share; None on one machine without it.
+
+    A cluster must name one: what a machine writes into a folder of its own, others cannot read.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named.rstrip("/") if named else None
+
+
 _shipped: set[str] = set()
 ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
@@ -56,9 +68,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared_folder(spark)
     if shared:
-        at = f"{shared.rstrip('/')}/cairnql-modules-{app}.zip"
+        at = f"{shared}/cairnql-modules-{app}.zip"
         path = context._jvm.org.apache.hadoop.fs.Path(at)
         files = path.getFileSystem(context._jsc.hadoopConfiguration())
         out = files.create(path, True)

@@ -308,10 +308,3 @@ def test_plans_push_down_and_aggregate_in_part(spark, sf):
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "partial_sum" in plan and "l_orderkey" not in plan.split("ReadSchema")[1]
     joined = QUERIES["broadcast_join"](spark, sf)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in joined
-
-
-def test_entry_works_without_the_training_data_operators(spark):
-    import __spark_entry__
-
-    assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
