@@ -11,19 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnql.session import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where the session names none (single-machine tests) a temporary folder is made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = shared_folder(spark) or spark.sparkContext.getCheckpointDir()
     if not named:
-        existing = spark.sparkContext.getCheckpointDir()
-        if not existing:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnql-"))
-            existing = spark.sparkContext.getCheckpointDir()
-        named = existing
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnql-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 

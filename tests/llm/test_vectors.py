@@ -34,8 +34,9 @@ def test_links_against_all_pairs(spark, seed, dim, spread):
 
 def test_small_windows_miss_few_links(spark, monkeypatch):
     """Windows much smaller than a cluster, over several passes, still find its component."""
+    monkeypatch.setattr(neardup_vectors, "MOST", 8)
     monkeypatch.setattr(neardup_vectors, "WINDOW", 8)
-    monkeypatch.setattr(neardup_vectors, "CHUNK", 8)
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 16)
     r = np.random.default_rng(5)
     x = np.concatenate([r.standard_normal(32) + 0.02 * r.standard_normal((200, 32)) for _ in range(3)] + [r.standard_normal((200, 32))])
     out = neardup_vectors.near_duplicates(frame(spark, x)).collect()
@@ -48,8 +49,9 @@ def test_small_windows_miss_few_links(spark, monkeypatch):
 
 def test_no_link_is_lost_in_a_dense_cone(spark, monkeypatch):
     """Vectors with mutual cosines of about 0.9, far more than a window holds, each linked with one other."""
+    monkeypatch.setattr(neardup_vectors, "MOST", 8)
     monkeypatch.setattr(neardup_vectors, "WINDOW", 8)
-    monkeypatch.setattr(neardup_vectors, "CHUNK", 8)
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 16)
     r = np.random.default_rng(11)
     x = np.sqrt(0.9) * np.eye(64)[0] + np.sqrt(0.1 / 63) * r.standard_normal((400, 64)) * (np.arange(64) > 0)
     x = np.concatenate([x, x + 0.025 * r.standard_normal(x.shape)])
@@ -86,6 +88,22 @@ def test_search_of_few_and_of_wide_values(spark):
     assert got == brute_top(x, range(3), 9)
 
 
-def test_scores_that_do_not_fit_are_refused(spark):
-    with pytest.raises(OverflowError):
-        topk.top_k(frame(spark, np.array([[1e15], [1.0]])), F.lit(True))
+def test_a_vector_whose_scores_might_not_fit_takes_no_part(spark):
+    x = np.array([[1e15, 0], [1.0, 2.0], [3.0, 1.0], [-2.0, 1.0]])
+    got = sorted(tuple(r) for r in topk.top_k(frame(spark, x), F.lit(True), k=2).collect())
+    assert got == sorted((q + 1, n, i + 1, s) for q, n, i, s in brute_top(x[1:], range(3), 2) for i in [i])
+
+
+def test_crowd_just_under_the_threshold(spark):
+    """Crowds of vectors that nearly link, with planted pairs that do: few links are lost, and every count fits its component."""
+    r = np.random.default_rng(3)
+    tops = r.standard_normal((6, 64))
+    x = np.concatenate([t / np.linalg.norm(t) + 0.055 * r.standard_normal((500, 64)) for t in tops] + [r.standard_normal((1500, 64))])
+    x = np.concatenate([x, x[::9] + 0.02 * np.linalg.norm(x[::9], axis=1, keepdims=True) * r.standard_normal(x[::9].shape)]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["id"]: r["n_links"] for r in neardup_vectors.near_duplicates(frame(spark, x)).collect()}
+    assert near.sum() > 900 and all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * near.sum()
