@@ -69,9 +69,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     empty or hold null or non-finite components take no part, nor do rows with a null id;
     vectors of another length than the query's are not its candidates.  Rows that repeat the
     query's id are its own; another id's repeated rows are candidates of their own.  A query
-    with fewer candidates returns all of them.
+    with fewer candidates returns all of them.  A vector with a component so large that its
+    product with itself might not fit in a long (beyond a million at 64 components) takes no
+    part either, so that it costs no other query its answer.  Very long vectors are read
+    whole; an empty table gives no rows; columns beside the id and the vector may have any
+    names, as they are not read.
     """
+    wide = F.aggregate(vector_col, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double")))) * 256.0 + 1.0
     rows = vectors.where(finite(vector_col) & F.col(id_col).isNotNull())
+    rows = rows.where(wide * wide * F.size(vector_col) < float(1 << 62))
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = save(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
     asked = save(asked.dropDuplicates(["id"]).repartitionByRange(F.col("id")).withColumn("block", F.lit(0)))
