@@ -31,7 +31,7 @@ HIDDEN = 8
 #: Bounds of the training sample: documents of each language on average, segments of a document.  Every language is learned.
 DOCUMENTS, SEGMENTS = 400, 4
 STEPS, BATCH, RATE = 260, 192, 0.02
-AT_ONCE, CELLS = 4096, 4 << 20  # stretches read at a time, and probabilities held for them
+AT_ONCE, CELLS = 1024, 4 << 20  # stretches read at a time, and probabilities held for them
 UNKNOWN = "und"
 
 
