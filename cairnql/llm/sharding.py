@@ -14,7 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import positions, save
+from cairnql.operators.relational import ranked
+
+from .common import positions, save, small_side
 
 HASH_BITS = 42
 COORD = (1 << 20) - 1
@@ -22,19 +24,18 @@ BINS = 4096
 BROADCAST_NODES = 100_000
 
 
-def _number(column: Column) -> Column:
-    """Order-preserving number of the first six bytes of a string."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
 def metadata_dimensions(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     """Default dimensions: log of the text's length and, where the table has them, source and language."""
     out = {"length": F.log2(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(1.0))}
     kinds = dict(docs.dtypes)
-    for name in ("source", "lang"):
-        if kinds.get(name) == "string":
-            out[name] = _number(F.col(name))
-    return out
+    return out | {name: F.col(name) for name in ("source", "lang") if kinds.get(name) == "string"}
+
+
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    """A string column as the rank of its value among the distinct ones, in code point order; null stays."""
+    own = f"{column}_of"
+    values = save(ranked(save(rows.select(F.col(column).alias(own)).dropna().distinct()), own, "_rank"))
+    return rows.join(small_side(values), F.col(column) == F.col(own), "left").drop(column, own).withColumnRenamed("_rank", column)
 
 
 def _small(nodes: DataFrame, leaves: int) -> DataFrame:
@@ -55,21 +56,30 @@ def kd_shards(
     ``size`` is the UTF-8 bytes of the text plus 1 (null: 1), ``crc`` its unsigned CRC-32
     (null: that of the empty text).  Either ``leaves`` shards are made or as many as give
     each ``target_bytes``.  A node of k leaves splits so that k // 2 of its weight's k parts
-    go left.  Nulls and NaNs in a dimension count as its smallest value.  Rows with equal
+    go left.  A dimension of strings counts as their ranks; nulls and NaNs count as the
+    smallest value of a dimension.  Rows with equal
     coordinates are told apart by a hash of id and text, so that a third of all rows may be
     alike; only wholly repeated rows (same id, same text) stay together.  ``slot`` numbers a
-    shard's rows from 0 without a gap.  An empty table gives no rows.
+    shard's rows from 0 without a gap.  Very long texts weigh what they are, and one may
+    outweigh a shard.  An empty table gives no rows; columns that no dimension reads may have
+    any names.
     """
     dims = dimensions or metadata_dimensions(docs, text_col)
+    kinds = [kind for _, kind in docs.select(*dims.values()).dtypes]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = save(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("crc"),
-            *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(dims.values())],
+            *[(c if kinds[i] == "string" else F.nanvl(c.cast("double"), F.lit(None))).alias(f"c{i}") for i, c in enumerate(dims.values())],
         )
     )
+    for i, kind in enumerate(kinds):
+        if kind == "string":
+            raw = _numbered(raw, f"c{i}")
+    if "string" in kinds:
+        raw = save(raw.select("id", "size", "crc", *[F.col(f"c{i}").cast("double").alias(f"c{i}") for i in range(len(dims))]))
     n_dims = len(dims)
     span = raw.agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"),

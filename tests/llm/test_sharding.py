@@ -52,6 +52,11 @@ def test_against_recursive_medians(spark, leaves):
     size = (F.octet_length(text) + 1).cast("long")
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", crc, size), 64 - sharding.HASH_BITS)
     data = d.select("doc_id", size.alias("s"), tie.alias("t"), *[c.alias(f"c{i}") for i, c in enumerate(dims.values())]).collect()
+    data = [r.asDict() for r in data]
+    for i in range(1, len(dims)):  # ranks of the strings
+        values = sorted({r[f"c{i}"] for r in data} - {None})
+        for r in data:
+            r[f"c{i}"] = None if r[f"c{i}"] is None else values.index(r[f"c{i}"])
     lo = [min((r[f"c{i}"] for r in data if r[f"c{i}"] is not None), default=0) for i in range(len(dims))]
     hi = [max((r[f"c{i}"] for r in data if r[f"c{i}"] is not None), default=0) for i in range(len(dims))]
     at = lambda r, i: 0 if r[f"c{i}"] is None else int((r[f"c{i}"] - lo[i]) / (hi[i] - lo[i]) * sharding.COORD)
@@ -93,3 +98,12 @@ def test_target_bytes_and_own_dimensions(spark):
         shards.setdefault(r["shard"], []).append(r["id"])
     assert len(shards) == math.ceil(200 * 100 / 2000)
     assert all(max(x) - min(x) == len(x) - 1 for x in shards.values())  # ranges of the id
+
+
+def test_sources_with_a_common_beginning_are_told_apart(spark):
+    rows = [(i, prose(i, 20), "en", f"https://host{i % 4}.example/") for i in range(400)]
+    out = sharding.kd_shards(documents(spark, rows), leaves=4, dimensions={"source": F.col("source")}).collect()
+    own = {}
+    for r in out:
+        own.setdefault(r["id"] % 4, set()).add(r["shard"])
+    assert sum(map(len, own.values())) <= 7  # four runs over four shards, cut at three medians
