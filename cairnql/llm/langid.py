@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import save, slices, small_side
 
 LENGTH = 64  # bytes of a segment to learn from
 STRETCH, CONTEXT = 128, 32  # bytes labelled at a time, and read beyond either end of them
@@ -227,8 +227,8 @@ def fit(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.where(is_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h")
     )
-    share = rows.groupBy("lang").agg((F.lit(float(DOCUMENTS << 40)) / F.count(F.lit(1))).alias("upto"))  # a row for each language
-    chosen = rows.join(share, "lang").where("h < upto").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    share = save(rows.groupBy("lang").agg((F.lit(float(DOCUMENTS << 40)) / F.count(F.lit(1))).alias("upto")))  # a row for each language
+    chosen = rows.join(small_side(share), "lang").where("h < upto").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

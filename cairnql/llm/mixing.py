@@ -4,6 +4,12 @@ Every document has a fixed 60-bit hash.  A source's part of a mix is the set of
 documents with hashes up to a threshold, so mixes of growing budgets are nested and a rerun
 gives the same mix.  The threshold is found by summing sizes over hash buckets and refining
 only the bucket in which the budget ends; rows are filtered, never sorted.
+
+Null and empty texts have size 0 and are never taken more often than ``whole`` says.  Very
+long texts count all their words; a source ends within half a document of its target.
+Repeated rows have one hash and are taken alike.  An empty table gives no rows.  Columns of
+clashing names pass through where all columns do.  The table of sources, one row each, is
+ordered in one task; all else is distributed.
 """
 
 from __future__ import annotations

@@ -4,6 +4,11 @@ Only the counts of pieces by length matter for the packing, and there are at mos
 ``capacity`` lengths, so the search runs on a histogram whose size does not grow with the
 corpus.  Its result is a list of fillings with multiplicities; the pieces of a length are
 numbered by a distributed ranking and find their sequence by their number.
+
+Null and empty texts are one piece of the end id.  Very long texts are cut into pieces, and
+very long words are encoded in stretches.  Repeated rows are packed each; ties among pieces of
+one length are settled by a hash.  An empty table gives no rows; only the id and the text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations

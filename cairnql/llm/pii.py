@@ -5,6 +5,12 @@ corpus it is counted how often a term stands near an entity and how often anywhe
 IC(c) = -log p(c) the information of an entity and PMI(c; t) = log p(c, t) / (p(c) p(t))
 what a term tells about it, a term discloses the share PMI / IC of the entity.  Terms above
 a threshold are generalised, and removed above a second one, wherever they occur.
+
+Null texts have no spans and stay null; empty ones have none.  Very long texts are searched
+whole, in time in proportion to their length.  Repeated rows are marked each and count each as
+documents, but their surroundings as one piece of evidence.  Of overlapping spans one mark
+stays.  An empty table gives an empty result.  All columns pass through but those named
+``pii_spans`` and ``pii_text``.
 """
 
 from __future__ import annotations

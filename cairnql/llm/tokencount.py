@@ -2,6 +2,11 @@
 
 Each whole document is encoded once; the spans of its tokens are then joined with the spans
 of its sections, so a token that crosses a boundary is neither lost nor counted twice.
+
+Null and empty texts are one section without tokens.  Very long texts are encoded piece by
+piece, cut at spaces between letters, where the vocabulary always cuts; a text of megabytes
+without one is encoded in one go.  Repeated rows have a row per section each; an empty table
+gives no rows; only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
