@@ -88,12 +88,14 @@ class Network:
                 cache.append((t, before, z, r, un, m))
         return states, cache
 
-    def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        """Label probabilities (language, time, batch) of every position of ids (time, batch)."""
-        out = np.empty((len(self.languages), *ids.shape), np.float32)
+    def probabilities(self, ids: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Label probabilities (language, time, batch) of the positions from ``first`` to ``last`` of ids (time, batch)."""
+        last = len(ids) if last is None else last
+        out = np.empty((len(self.languages), last - first, ids.shape[1]), np.float32)
         flat = out.reshape(len(self.languages), -1)
-        for d in "01":
-            s = np.ascontiguousarray(self.run(ids, d)[0].transpose(1, 0, 2)).reshape(self.w["u" + d].shape[1], -1)
+        for d in "01":  # neither direction reads what lies behind the last position it labels
+            s = self.run(ids[:last], d)[0][first:] if d == "0" else self.run(ids[first:], d)[0][: last - first]
+            s = np.ascontiguousarray(s.transpose(1, 0, 2)).reshape(self.w["u" + d].shape[1], -1)
             if d == "0":
                 np.matmul(self.w["v0"], s, out=flat)
             else:
@@ -185,35 +187,28 @@ def grid(segments: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
 def read(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities (text, language) over all positions of each text, in double precision."""
     total = np.zeros((len(texts), len(net.languages)))
-    span = STRETCH + 2 * CONTEXT
-    at_once = max(16, min(AT_ONCE, CELLS // (span * len(net.languages))))
-    parts: list[bytes] = []
-    owner: list[int] = []
-    own: list[tuple[int, int]] = []  # the part of a stretch that it labels
-    time = np.arange(span)[:, None]
-
-    def flush() -> None:
-        ids, _ = grid(parts, span)
-        p = net.probabilities(ids)
-        first, last = np.array(own).T
-        p *= (time >= first) & (time < last)
-        of = np.array(owner)
+    at_once = max(16, min(AT_ONCE, CELLS // (STRETCH * len(net.languages))))
+    # stretches that begin a text have nothing before them, all others the whole context
+    held: dict[int, list[tuple[bytes, int, int]]] = {0: [], CONTEXT: []}
+
+    def flush(before: int) -> None:
+        parts, owner, sizes = zip(*held[before])
+        ids, _ = grid(list(parts), before + STRETCH + CONTEXT)
+        p = net.probabilities(ids, before, before + STRETCH)
+        p *= np.arange(STRETCH)[:, None] < np.array(sizes)
         for k, sums in enumerate(p.sum(axis=1, dtype=np.float64)):
-            total[:, k] += np.bincount(of, sums, len(texts))
-        parts.clear()
-        owner.clear()
-        own.clear()
+            total[:, k] += np.bincount(owner, sums, len(texts))
+        held[before].clear()
 
     for n, text in enumerate(texts):
         for o in range(0, len(text), STRETCH):
-            before = min(o, CONTEXT)
-            parts.append(text[o - before : o + STRETCH + CONTEXT])
-            owner.append(n)
-            own.append((before, before + min(STRETCH, len(text) - o)))
-            if len(parts) == at_once:
-                flush()
-    if parts:
-        flush()
+            before = CONTEXT if o else 0
+            held[before].append((text[o - before : o + STRETCH + CONTEXT], n, min(STRETCH, len(text) - o)))
+            if len(held[before]) == at_once:
+                flush(before)
+    for before, left in held.items():
+        if left:
+            flush(before)
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 

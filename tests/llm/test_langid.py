@@ -58,7 +58,7 @@ def slow_probabilities(net, text):
     for i in range(len(text)):
         o = i - i % langid.STRETCH
         before, end = min(o, langid.CONTEXT), o + langid.STRETCH + langid.CONTEXT
-        seen = text[o - before : end].ljust(langid.STRETCH + 2 * langid.CONTEXT, b"\0")
+        seen = text[o - before : end].ljust(before + langid.STRETCH + langid.CONTEXT, b"\0")
         at = before + i - o
         left, right = state("0", seen[: at + 1]), state("1", seen[: at - 1 if at else None : -1])
         logit = [sum(a * b for a, b in zip(v0, left)) + sum(a * b for a, b in zip(v1, right)) + b[0] for v0, v1, b in zip(w["v0"], w["v1"], w["b"])]
