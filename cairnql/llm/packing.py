@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import positions, save, slices, worker_cache
 
 CAPACITY = 2048
-#: Entries of a worker's new and of its old cache, and the longest word they keep in bytes: about 50 MB each with words of usual length.
-CACHED_WORDS, CACHED_BYTES = 250_000, 48
+#: Entries of a worker's new and of its old cache, and the longest word they keep in bytes: about 30 MB each with words of usual length.
+CACHED_WORDS, CACHED_BYTES = 150_000, 48
 #: Words beyond this many bytes are normalised, cut and merged stretch by stretch.
 LONG_WORD, STRETCH = 1 << 16, 1 << 13
 #: Kinds of bins closed by the whole search, and without a better packing; candidates tried for one bin, and steps to enumerate them;
