@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnql.operators.relational import interval_join
+
 FINE = 1 << 53
 
 
@@ -43,11 +45,19 @@ def hot_warm_cold(key: Column, low: int, high: int, hot_access: int, hot_size: i
     return F.when(at < hot_access, flat(key, low, hot, seed)).when(at < hot_access + warm_access, flat(key, hot, warm, seed)).otherwise(flat(key, warm, high, seed))
 
 
-def from_histogram(df: DataFrame, key: Column, hist: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds ``value``, drawn from a histogram (value, count) of few values by its counts."""
+def from_histogram(df: DataFrame, key: Column, hist: DataFrame, seed: int = 0, few: int = 10_000) -> DataFrame:
+    """Adds ``value``, drawn from a histogram (value, count) by its counts.
+
+    Up to ``few`` values go to every task as one array; more are joined by the interval of
+    each.  The running sum of the counts is made in one task, of a row per value.
+    """
     upto = F.sum("count").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    bounds = hist.select("value", upto.alias("u"))
+    bounds = hist.select("value", upto.alias("u"), (upto - F.col("count")).alias("_low"))
+    n, total = hist.agg(F.count(F.lit(1)), F.sum("count")).first()
+    at = F.floor(uniform(key, seed) * F.lit(total))
+    if n > few:
+        spans = bounds.where(F.col("u") > F.col("_low")).select("value", "_low", (F.col("u") - 1).alias("_high"))
+        return interval_join(df.withColumn("_at", at), spans, F.col("_at"), F.col("_low"), F.col("_high"), max(1, total // n)).drop("_at", "_low", "_high")
     table = bounds.agg(F.array_sort(F.collect_list(F.struct("u", "value"))).alias("_h"))
-    at = F.floor(uniform(key, seed) * F.element_at("_h", -1)["u"])
     drawn = F.element_at(F.filter("_h", lambda b: b["u"] > at), 1)["value"]
-    return df.crossJoin(F.broadcast(table)).withColumn("value", drawn).drop("_h")
+    return df.crossJoin(F.broadcast(table)).withColumn("value", drawn).drop("_h")  # one row of `few` values at most

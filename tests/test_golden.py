@@ -234,6 +234,7 @@ def test_random_numbers(spark):
     assert abs(sum(x < 50 for x in hot) / 20_000 - 0.7) < 0.02 and abs(sum(50 <= x < 200 for x in hot) / 20_000 - 0.2) < 0.02
     hist = spark.createDataFrame([("a", 1), ("b", 3)], "value string, count long")
     drawn = dict(rows(rnd.from_histogram(df, F.col("id"), hist).groupBy("value").count()))
+    assert rows(rnd.from_histogram(df, F.col("id"), hist, few=0).select("id", "value")) == rows(rnd.from_histogram(df, F.col("id"), hist).select("id", "value"))
     assert set(drawn) == {"a", "b"} and abs(drawn["b"] / 20_000 - 0.75) < 0.02
 
 
