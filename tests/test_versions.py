@@ -124,6 +124,37 @@ def test_interval_join_of_wide_and_empty_intervals(spark):
     assert got == sorted(((i, j) for i in range(-20, 50) for j, lo, hi in spans if lo is not None and lo <= i <= hi), key=repr)
 
 
+def test_interval_join_of_many_rows_with_one_interval(spark):
+    """Rows that share an interval meet only the keys within it, not those of its bucket."""
+    a = spark.range(20_000).selectExpr("id AS i", "id % 1000 + 0.5D AS x")
+    b = spark.range(3000).selectExpr("id AS j", "id % 10 * 100D AS lo").withColumn("hi", F.col("lo") + 0.5)
+    out = rel.interval_join(a, b, F.col("x"), F.col("lo"), F.col("hi"), 100)
+    assert out.count() == 20 * 3000
+    steps, made = [out._jdf.queryExecution().executedPlan()], []
+    steps[0].execute().count()
+    while steps:
+        plan = steps.pop()
+        if plan.nodeName() == "Generate":
+            made.append(plan.metrics().apply("numOutputRows").value())
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+        steps += inner + [plan.children().apply(i) for i in range(plan.children().size())]
+    assert sorted(made) == [10, 20_000]
+
+
+def test_interval_join_of_odd_intervals(spark):
+    inf, nan = float("inf"), float("nan")
+    keys = [-inf, -1e300, -7.0, -0.0, 0.0, 1e-12, 0.1, 0.30000000000000004, 1.0, 5.0, 1e15, 1e300, inf, nan, None]
+    spans = [(0.0, 0.0), (-0.0, 0.1), (0.1, 0.1), (0.3, 0.30000000000000004), (-inf, inf), (-inf, -1e300), (1.0, nan), (inf, inf), (-1e300, 1e300), (1e15, 1e15), (nan, nan), (0.0, 1e-12), (5.0, 1.0), (0.99, 5.01), (None, None)]
+    a = spark.createDataFrame(list(enumerate(keys)), "i int, x double")
+    b = spark.createDataFrame([(j, *s) for j, s in enumerate(spans)] * 2, "j int, lo double, hi double")
+    want = rows(a.crossJoin(b).where("x >= lo AND x <= hi").select("i", "j"))
+    assert rows(rel.interval_join(a, b, F.col("x"), F.col("lo"), F.col("hi"), 5).select("i", "j")) == want
+    far = 1 << 62
+    a = spark.createDataFrame([(far + 1,), (-far * 2,), (7,)], "x long")
+    b = spark.createDataFrame([(far + 1, far + 1), (far + 2, far + 3), (-far * 2, far), (7, 7)], "lo long, hi long")
+    assert rows(rel.interval_join(a, b, F.col("x"), F.col("lo"), F.col("hi"), 5)) == rows(a.crossJoin(b).where("x >= lo AND x <= hi"))
+
+
 def test_places_of_many_slices(spark):
     df = spark.createDataFrame([(i * 7919 % 1000 if i % 9 else None, i) for i in range(3000)], "a int, b int")
     out = rel.placed(df, [F.col("a"), F.col("b")], "place", rows=100).orderBy("place").collect()
